@@ -67,9 +67,9 @@ m AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text) AS i FROM m
 ), o AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY i)
-            - length(body) - 1 AS at FROM n
+            - length(body) - 1 AS pos FROM n
 )
 SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY i) AS rendered,
-       coalesce(string_agg(CAST(at AS BIGINT) || ':' || CAST(at + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own), '') AS mask
+       coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, perspective
 """
