@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.arrays import IS_WORD, flat, span_hashes, strings, word_spans
+from tidemark.llm.arrays import IS_WORD, flat, slices, span_hashes, strings, word_spans
 
 CONTENT, BOILERPLATE = 1, 0
+SLICE = 1 << 20  # bytes of whole texts handled at a time
 FEATURES = (
     "log_words", "upper", "symbols", "pipes", "bangs", "digits", "word_length", "repeats",
     "ends_sentence", "twin", "short", "first", "last", "short_words", "log_lines",
@@ -208,8 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineMode
     ])
 
     def features(batches):
-        for batch in batches:
-            x, _, first = line_features(strings(batch.column("text")))
+        parts = ((batch.slice(at, len(own)), own) for batch in batches for at, own in slices(strings(batch.column("text")), SLICE))
+        for batch, own in parts:
+            x, _, first = line_features(own)
             x = x.astype(np.float32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("quality").cast(pa.int32()),
@@ -257,7 +259,10 @@ def label_documents(docs: DataFrame, model: LineModel, threshold: float = 0.5, d
 
     def run(batches):
         for batch in batches:
-            found = label_batch(strings(batch.column(text)), model, threshold)
+            parts = [label_batch(own, model, threshold) for _, own in slices(strings(batch.column(text)), SLICE)]
+            found = [np.concatenate(x) for x in zip(*parts)]
+            if not found:
+                continue
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *map(pa.array, found)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
