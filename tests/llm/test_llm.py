@@ -158,12 +158,13 @@ def test_neighbours_recall(spark):
 
 def test_list_scan_reads_less_and_finds_nearly_all():
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((2000, 64)).astype(np.float32) * np.linspace(2, 0.2, 64, dtype=np.float32) @ neighbours.rotation(64, 1)
+    centres = 3 * rng.standard_normal((40, 64))
+    x = (centres[rng.integers(0, 40, 2000)] + rng.standard_normal((2000, 64))).astype(np.float32) @ neighbours.rotation(64, 1)
     q = x[:50] + 0.01
     row, at, d, read = neighbours.scan_list(np.arange(2000), x, np.arange(5000, 5050), q, 10)
     truth = np.argsort(((q[:, None] - x) ** 2).sum(2), 1)[:, :10]
     hits = sum(len(set(at[row == i]) & set(truth[i])) for i in range(50))
-    assert hits >= 0.97 * 500 and read < 0.75 * 50 * 2000 * 64
+    assert hits >= 0.97 * 500 and read < 0.5 * 50 * 2000 * 64
 
 
 def test_neighbours_odd_tables(spark):
@@ -327,7 +328,7 @@ def test_power_meets_targets():
 
 
 def test_mix_equals_brute_force(spark, docs):
-    for budget in (None, 40_000, 900_000):
+    for budget in (None, 40_000, 500_000):
         solved = mixing.solve(docs, 0.95, 8.0, budget, blocks=8)
         got = Counter((r.doc_id, r.source) for r in mixing.mix(docs, solved, blocks=8).collect())
         keys = mixing._keys(docs.withColumn("n", mixing.n_tokens(docs.text)), 8, 1)
@@ -416,7 +417,7 @@ def test_deduplicate_odd_tables(spark, odd, none):
 
 @pytest.mark.parametrize("text, kinds", [
     ("write to ann.lee@mail.example.com now", ["email"]), ("card 4785 3805 9239 1139 ok", ["card"]), ("number 4785380592391138 ok", []),
-    ("IBAN DE89 3704 0044 0532 0130 00 please", ["iban"]), ("IBAN DE89 3704 0044 0532 0130 01 please", []),
+    ("IBAN DE89 3704 0044 0532 0130 00 please", ["iban"]), ("IBAN DE89 3704 0044 0532 0130 02 please", []),
     ("call +1 (743) 555-3824 or (212) 555-0100", ["phone", "phone"]), ("host 8.196.197.208 is up", ["ip"]), ("host 8.196.197.308 is up", []),
     ("version 1.2.3.4 is out", []), ("ssn 219-09-9999", ["ssn"]), ("code 219-09-9999", ["ssn"]), ("code 000-09-9999", []), ("at 12.5 % of 100", []), ("", []),
 ])

@@ -376,6 +376,15 @@ def _write_bigrams(rows: DataFrame, path: str, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _save_words(path: str, p: int, index: np.ndarray, before: np.ndarray) -> None:
+    """uni of one part: the statistics of words as contexts joined with the words before them."""
+    after = _load(f"{path}/word-{p}")[0] if os.path.exists(f"{path}/word-{p}") else np.zeros((0, 5), np.int64)
+    dense = np.zeros((max(index.max(initial=-1), after[:, 0].max(initial=-1)) + 1, 5), np.int64)
+    dense[after[:, 0], :4] = after[:, 1:]
+    dense[index, 4] = before
+    _save(f"{path}/uni-{p}", dense.astype(np.uint32) if dense.max(initial=0) < 2**32 else dense)
+
+
 def _write_words(rows: DataFrame, path: str, parts: int) -> DataFrame:
     """Writes uni, dense by number; gives all statistics: of trigrams -1 to -parts, of bigrams after that, of words from 0."""
 
@@ -386,13 +395,7 @@ def _write_words(rows: DataFrame, path: str, parts: int) -> DataFrame:
             else:
                 arrays = [unpack(b) for b in blobs]
                 w, n = _sum_by(np.concatenate([np.cumsum(a[0], dtype=U) for a in arrays]), np.concatenate([a[1] for a in arrays]).astype(np.int64))
-                after = _load(f"{path}/word-{p}")[0] if os.path.exists(f"{path}/word-{p}") else np.zeros((0, 5), np.int64)
-                index = (w // U(parts)).astype(np.int64)
-                size = max(index.max(initial=-1), after[:, 0].max(initial=-1)) + 1
-                dense = np.zeros((size, 5), np.int64)
-                dense[after[:, 0], :4] = after[:, 1:]
-                dense[index, 4] = n
-                _save(f"{path}/uni-{p}", dense.astype(np.uint32) if dense.max(initial=0) < 2**32 else dense)
+                _save_words(path, p, (w // U(parts)).astype(np.int64), n)
                 # the numbers of words before 1, 2, 3, and 4 words, and in n how many words there are
                 found = (len(w), *_spectrum(n))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.int64()) for x in found)], names=_NAMES)
@@ -424,7 +427,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
             if not os.path.exists(f"{path}/{kind}-{p}"):
                 _write_table(f"{path}/{kind}-{p}", np.zeros(0, U), np.zeros((0, width) if width > 1 else 0, np.int64))
         if not os.path.exists(f"{path}/uni-{p}"):
-            _save(f"{path}/uni-{p}", np.zeros((0, 5), np.uint32))
+            _save_words(path, p, np.zeros(0, np.int64), np.zeros(0, np.int64))  # words that only come first
     n = sums[1]
     return Model(path, parts, int(n[0]), int(sums[2][0]), tuple(discounts(list(sums[k][1:])) for k in (3, 2, 1)), (int(n[1]), int(n[2]), int(n[0] - n[1] - n[2])))
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-NO_SOURCE = "\u0000none"
+NO_SOURCE = "\ue000none"  # a character for private use: no source is named so
 
 
 def n_tokens(text: Column) -> Column:
@@ -101,50 +101,50 @@ def solve(docs: DataFrame, entropy_share: float = 0.97, max_epochs: float = 4.0,
     """Solve the mix over all documents. The driver gets `blocks` rows a source, whatever the size of the corpus."""
     spark = docs.sparkSession
     keyed = _keys(docs, blocks, seed).withColumn("__n", n_tokens(F.col("text")))
-    sums = keyed.groupBy("__source", "__block").agg(F.sum("__n").alias("n")).toArrow().to_pandas()
-    if sums.empty:
-        return Mix(1.0, ())
-    sums = sums.sort_values(["__source", "__block"])
-    total = sums.groupby("__source", sort=True)["n"].sum()
-    tokens = total.to_numpy().astype(np.float64)
+    sums: dict[str, list[tuple[int, int]]] = {}
+    for row in keyed.groupBy("__source", "__block").agg(F.sum("__n").alias("n")).toArrow().to_pylist():
+        sums.setdefault(row["__source"], []).append((row["__block"], row["n"]))
+    names = sorted(sums)
+    tokens = np.array([sum(n for _, n in sums[s]) for s in names], np.float64)
     if tokens.sum() == 0:
         return Mix(1.0, ())
     budget = float(budget_tokens if budget_tokens is not None else tokens.sum())
     power = solve_power(tokens, entropy_share, max_epochs, budget)
     w = weights_at(tokens / tokens.sum(), power)
     budgets = np.floor(budget * w + 1e-6).astype(np.int64)
-    full = np.divmod(budgets, np.maximum(tokens, 1).astype(np.int64))[0]
-    rest = budgets - full * tokens.astype(np.int64)
-    plan = {s: (int(t), float(x), int(b), int(f), int(r)) for s, t, x, b, f, r in zip(total.index, tokens, w, budgets, full, rest)}
+    full, rest = np.divmod(budgets, np.maximum(tokens, 1).astype(np.int64))
     # order of the blocks in the last, partial epoch of each source
-    epochs = spark.createDataFrame([(s, f) for s, (_, _, _, f, _) in plan.items()], "__source string, __epoch long")
-    order = (
-        epochs.crossJoin(spark.range(blocks).withColumnRenamed("id", "__block"))
-        .select("__source", "__block", _block_key(F.col("__block"), F.col("__epoch"), seed).alias("key")).toArrow().to_pandas()
-    )
-    sums = sums.merge(order, on=["__source", "__block"]).sort_values(["__source", "key", "__block"])
+    epochs = spark.createDataFrame(list(zip(names, full.tolist())), "__source string, __epoch long")
+    keys = {
+        (r["__source"], r["__block"]): r["key"]
+        for r in epochs.crossJoin(spark.range(blocks).withColumnRenamed("id", "__block"))
+        .select("__source", "__block", _block_key(F.col("__block"), F.col("__epoch"), seed).alias("key")).toArrow().to_pylist()
+    }
     cut = {}
-    for source, own in sums.groupby("__source", sort=True):
-        rest_ = plan[source][4]
-        before = np.concatenate([[0], np.cumsum(own["n"].to_numpy())])
-        at = int(np.searchsorted(before[1:], rest_, "right"))  # the first block that doesn't fit
-        cut[source] = (int(own["key"].iloc[at]) if at < len(own) else None, rest_ - int(before[min(at, len(own))]))
+    for source, left in zip(names, rest.tolist()):
+        cut[source] = (None, left)
+        for key, n in sorted((keys[source, block], n) for block, n in sums[source]):
+            if n > left:  # the first block that doesn't fit
+                cut[source] = (key, left)
+                break
+            left -= n
     # within that block, the first document that doesn't fit
-    ends = [(s, plan[s][3], k, left) for s, (k, left) in cut.items() if k is not None]
+    ends = [(s, f, *cut[s]) for s, f in zip(names, full.tolist()) if cut[s][0] is not None]
     ended = {}
     if ends:
         from pyspark.sql import Window
 
         at_end = F.broadcast(spark.createDataFrame(ends, "__source string, __epoch long, __cut long, __left long"))  # a row a source
         within = Window.partitionBy("__source").orderBy("__key").rangeBetween(Window.unboundedPreceding, 0)
-        ended = dict(
+        ended = {r["__source"]: r["__key"] for r in (
             _keys(docs.select("doc_id", "source", "text"), blocks, seed)
             .join(at_end, "__source").where(_block_key(F.col("__block"), F.col("__epoch"), seed) == F.col("__cut"))
             .select("__source", "__left", _doc_key(F.col("__epoch"), seed).alias("__key"), n_tokens(F.col("text")).alias("__n"))
             .withColumn("__sum", F.sum("__n").over(within)).where("__sum > __left")
-            .groupBy("__source").agg(F.min("__key").alias("__key")).toArrow().to_pandas().itertuples(index=False, name=None)
-        )
-    return Mix(power, tuple((s, t, x, b, f, cut[s][0], ended.get(s)) for s, (t, x, b, f, _) in plan.items() if x > 0))
+            .groupBy("__source").agg(F.min("__key").alias("__key")).toArrow().to_pylist()
+        )}
+    rows = zip(names, tokens.astype(int).tolist(), w.tolist(), budgets.tolist(), full.tolist())
+    return Mix(power, tuple((s, t, x, b, f, cut[s][0], ended.get(s)) for s, t, x, b, f in rows if t > 0))
 
 
 def mix(docs: DataFrame, solved: Mix, blocks: int = 256, seed: int = 1) -> DataFrame:

@@ -73,7 +73,7 @@ RULES = (
     Rule("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)", 0.3, _card, 0.5, -0.3, ("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta")),
     Rule("iban", r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w)", 0.2, _iban, 0.7, -0.2, ("iban", "account", "konto", "compte", "cuenta")),
     Rule("phone", r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", 0.6, words=("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone")),
-    Rule("ip", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", 0.3, _ip, 0.3, -0.3, ("ip", "address", "server", "host", "login", "version"), 0.2),
+    Rule("ip", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", 0.3, _ip, 0.3, -0.3, ("ip", "address", "server", "host", "login")),
     Rule("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.2, _ssn, 0.3, -0.2, ("ssn", "social", "security"), 0.3),
 )
 _NEGATIVE = frozenset(("version", "release", "isbn", "order", "part", "sku"))
