@@ -25,6 +25,13 @@ def div(a, b) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0))
 
 
+def corr(a, b) -> Column:
+    """Pearson correlation of the rows that have both, NULL where either is constant (the built-in one divides by zero)."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def series(*keys: str, order: str = "t") -> WindowSpec:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy(order)
 

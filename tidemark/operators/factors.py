@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.kernels import (
-    asof_backward, clip, composite, div, ewm_mean, mean_distance, mean_std_composite, moderate, ols_score, rolling, rolling_mean_zscore, series, shift, volatility_flip, zscore,
+    asof_backward, clip, composite, corr, div, ewm_mean, mean_distance, mean_std_composite, moderate, ols_score, rolling, rolling_mean_zscore, series, shift, volatility_flip, zscore,
 )
 from tidemark.sources.bars import densify
 
@@ -203,7 +203,7 @@ def fuzzy_daily(grid: DataFrame, min_bars: int = 30, min_valid: int = 20, min_fo
     enough = F.sum(fog.cast("int")) >= min_foggy
     ratio = lambda x: F.when(enough & (F.avg(x) > 0), F.avg(F.when(fog, F.col(x))) / F.nullif(F.avg(x), F.lit(0)))
     return rows.groupBy(*DAY).agg(
-        F.when((F.stddev_pop("a") > 0) & (F.stddev_pop("to") > 0), F.corr("a", "to")).alias("fuzzy_corr"), ratio("to").alias("fuzzy_amount_ratio"), ratio("volume").alias("fuzzy_volume_ratio"),
+        corr("a", "to").alias("fuzzy_corr"), ratio("to").alias("fuzzy_amount_ratio"), ratio("volume").alias("fuzzy_volume_ratio"),
     )
 
 
@@ -346,9 +346,12 @@ def pairwise_mean_corr(panel: DataFrame, value: str, window: int, min_obs: int,
         n = wide.shape[1]
         if n < min_symbols:
             return pd.DataFrame({"at": [], "symbol": [], "value": []})
-        corr = (wide.rank() if spearman and not wide.isna().any().any() else wide).corr(min_periods=1) if not spearman or not wide.isna().any().any() else _spearman(wide)
-        corr = corr if keep_nan else corr.fillna(0)
-        return pd.DataFrame({"at": key[0], "symbol": wide.columns, "value": ((corr.abs().sum() - 1) / (n - 1)).to_numpy()})
+        if spearman:
+            found = _spearman(wide) if wide.isna().any().any() else wide.rank().corr()
+        else:
+            found = wide.corr()
+        found = found if keep_nan else found.fillna(0)
+        return pd.DataFrame({"at": key[0], "symbol": wide.columns, "value": ((found.abs().sum() - 1) / (n - 1)).to_numpy()})
 
     found = spread.select("at", "t", "symbol", value).groupBy("at").applyInPandas(run, "at int, symbol string, value double")
     return found.join(dates, "at").select(F.col("day").alias("date"), "symbol", F.nanvl("value", F.lit(None).cast("double")).alias("value"))

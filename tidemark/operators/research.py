@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.kernels import div, quantile_bucket, rank_average, rank_percent, series, week_end, zscore
+from tidemark.functions.kernels import corr, div, quantile_bucket, rank_average, rank_percent, series, week_end, zscore
 
 KEYS = ["date", "symbol"]
 
@@ -51,7 +51,7 @@ def rank_ic(rows: DataFrame, least: int = 20, by: tuple[str, ...] = ("factor",))
     rows = rows.where("value is not null and fwd is not null")
     keys = [*by, "date"]
     rows = rows.withColumns({"__a": rank_average("value", *keys), "__b": rank_average("fwd", *keys)})
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), corr("__a", "__b").alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def ic_summary(ics: DataFrame, least: int = 3) -> DataFrame:
@@ -70,7 +70,7 @@ def factor_correlations(wide: DataFrame, names: list[str]) -> DataFrame:
     """a, b, corr over the rows on which all factors are present; all pairs in one aggregation."""
     rows = wide.dropna(subset=names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = rows.agg(*(F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    one = rows.agg(*(corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs))))
     return one.select(cells.alias("x")).select("x.*")
 
@@ -144,7 +144,7 @@ def monotonicity(quantiles: DataFrame) -> DataFrame:
     """Rank correlation of bucket and mean return."""
     means = quantiles.groupBy("quantile").agg(F.avg("ret").alias("ret")).withColumn("__one", F.lit(1))
     means = means.withColumns({"a": rank_average("quantile", "__one"), "b": rank_average("ret", "__one")})
-    return means.agg(F.corr("a", "b").alias("monotonicity"))
+    return means.agg(corr("a", "b").alias("monotonicity"))
 
 
 def turnover(rows: DataFrame, n: int = 5, least: int = 10) -> DataFrame:

@@ -41,18 +41,19 @@ def grid_of(spark, sf_dir) -> DataFrame:
 
 
 def factor_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(grid, long rows of three factors): six-month momentum, range position and daily reversal."""
-    grid = grid_of(spark, sf_dir)
+    """(grid with prices carried forward, long rows of three factors): six-month momentum, range position and daily reversal."""
     w = k.series()
+    grid = grid_of(spark, sf_dir).select("date", "t", "symbol", *(k.ffill(c, w).alias(c) for c in ("close", "high", "low")))
     low, high = k.rolling(F.min, "low", 252, 126, w), k.rolling(F.max, "high", 252, 126, w)
     wide = grid.select("date", "symbol", (k.div(k.shift("close", 21, w), k.shift("close", 126, w)) - 1).alias("mom"), k.div(F.col("close") - low, high - low).alias("range"), (k.div("close", k.shift("close", 1, w)) - 1).alias("rev"))
     return grid, wide.unpivot(["date", "symbol"], ["mom", "range", "rev"], "factor", "value").where("value is not null")
 
 
-W = f"""WITH {DAILY_SQL}, wide AS (SELECT date, symbol, t, close, {div(lag('close', 21), lag('close', 126))} - 1 AS mom,
- {div(f"close - {roll('min', 'low', 252, 126)}", f"{roll('max', 'high', 252, 126)} - {roll('min', 'low', 252, 126)}")} AS range, {div('close', lag('close', 1))} - 1 AS rev FROM grid),
+_ff = ", ".join(f"last_value({c} IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("close", "high", "low"))
+W = f"""WITH {DAILY_SQL}, fgrid AS (SELECT date, t, symbol, {_ff} FROM grid), wide AS (SELECT date, symbol, t, close, {div(lag('close', 21), lag('close', 126))} - 1 AS mom,
+ {div(f"close - {roll('min', 'low', 252, 126)}", f"{roll('max', 'high', 252, 126)} - {roll('min', 'low', 252, 126)}")} AS range, {div('close', lag('close', 1))} - 1 AS rev FROM fgrid),
 factors AS (SELECT date, symbol, 'mom' AS factor, mom AS value FROM wide WHERE mom IS NOT NULL UNION ALL SELECT date, symbol, 'range', range FROM wide WHERE range IS NOT NULL UNION ALL SELECT date, symbol, 'rev', rev FROM wide WHERE rev IS NOT NULL),
-f21 AS (SELECT date, symbol, {div(lag('close', -21), 'close')} - 1 AS fwd FROM grid), f5 AS (SELECT date, symbol, {div(lag('close', -6), lag('close', -1))} - 1 AS fwd FROM grid),
+f21 AS (SELECT date, symbol, {div(lag('close', -21), 'close')} - 1 AS fwd FROM fgrid), f5 AS (SELECT date, symbol, {div(lag('close', -6), lag('close', -1))} - 1 AS fwd FROM fgrid),
 weeks AS (SELECT max(date) AS date FROM (SELECT DISTINCT date FROM grid) GROUP BY {WEEK})"""
 REB = f"{W}, reb AS (SELECT f.date, f.symbol, f.factor, f.value, g.fwd FROM factors f JOIN weeks USING (date) JOIN f5 g USING (date, symbol)), mrow AS (SELECT * FROM reb WHERE factor = 'mom' AND value IS NOT NULL AND fwd IS NOT NULL)"
 IC = f"""{REB}, ranked AS (SELECT factor, date, {rank_average('value', 'factor, date')} AS a, {rank_average('fwd', 'factor, date')} AS b FROM reb WHERE value IS NOT NULL AND fwd IS NOT NULL),
@@ -275,7 +276,7 @@ def orthogonalize_many(spark, sf_dir):
     return research.orthogonalize(rows.groupBy("date", "symbol").pivot("factor", ["mom", "range", "rev"]).agg(F.first("value")), "rev", ["mom", "range"])
 
 
-@query(f"""{W}, wk AS (SELECT factor, symbol, {WEEK} AS week, last(value ORDER BY date) AS value FROM factors GROUP BY ALL), cl AS (SELECT symbol, {WEEK} AS week, last(close ORDER BY date) AS close FROM grid WHERE close IS NOT NULL GROUP BY ALL),
+@query(f"""{W}, wk AS (SELECT factor, symbol, {WEEK} AS week, last(value ORDER BY date) AS value FROM factors GROUP BY ALL), cl AS (SELECT symbol, {WEEK} AS week, last(close ORDER BY date) AS close FROM fgrid WHERE close IS NOT NULL GROUP BY ALL),
 sy AS (SELECT DISTINCT symbol FROM cl), wt AS (SELECT week, row_number() OVER (ORDER BY week) AS t FROM (SELECT DISTINCT week FROM cl)), full_ AS (SELECT wt.week, wt.t, sy.symbol, cl.close FROM wt CROSS JOIN sy LEFT JOIN cl USING (week, symbol)),
 fw AS (SELECT week, symbol, lead(close) OVER (PARTITION BY symbol ORDER BY t) / nullif(close, 0) - 1 AS fwd FROM full_)
 SELECT factor, symbol, week AS date, {rd('value')} AS value, {rd('fwd')} AS fwd FROM wk LEFT JOIN fw USING (week, symbol)""")
@@ -520,9 +521,9 @@ def symbol_quality(spark, sf_dir):
     return quality.symbol_summary(quality.bars_per_day(synthetic.intraday_bars(spark, sf_dir), 48)).withColumn("mean_bars", r("mean_bars"))
 
 
-@query(f"{_Q}, e AS (SELECT * FROM (VALUES (0, 10), (10, 20), (20, 30), (30, 40), (40, 48), (48, NULL)) v(lo, hi)) SELECT CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, count(*) AS n FROM dq JOIN e ON bars >= lo AND (hi IS NULL OR bars < hi) GROUP BY lo, hi")
+@query(f"{_Q}, e AS (SELECT * FROM (VALUES (0, 10), (10, 20), (20, 30), (30, 40), (40, 48), (48, NULL)) v(lo, hi)) SELECT CAST(lo AS INTEGER) AS lo, count(*) AS n FROM dq JOIN e ON bars >= lo AND (hi IS NULL OR bars < hi) GROUP BY lo")
 def bar_histogram(spark, sf_dir):
-    return quality.histogram(quality.bars_per_day(synthetic.intraday_bars(spark, sf_dir), 48))
+    return quality.histogram(quality.bars_per_day(synthetic.intraday_bars(spark, sf_dir), 48)).select("lo", "n")
 
 
 @query(f"{_Q} SELECT q.symbol, q.date, m.ts FROM q JOIN mins m USING (date) WHERE m.ts BETWEEN first_ts AND last_ts EXCEPT SELECT symbol, date, ts FROM ibars")
