@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 22, tables: int = 24, key_bits: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = 22, tables: int = 36, key_bits: int = 16) -> DataFrame:
     """(doc_id, kept_id) of every document that goes because kept_id, the lowest of its group, stays."""
 
     def run(batches):
