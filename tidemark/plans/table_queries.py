@@ -162,7 +162,7 @@ def parse_positions(spark, sf_dir):
 
 @query(f"{W} SELECT date, symbol, {rd('f21.fwd')} AS fwd21, {rd('f5.fwd')} AS fwd5 FROM f21 JOIN f5 USING (date, symbol)")
 def forward_returns(spark, sf_dir):
-    grid = grid_of(spark, sf_dir)
+    grid, _ = factor_rows(spark, sf_dir)
     a, b = research.forward_returns(grid), research.next_day_returns(grid, 5)
     return a.select("date", "symbol", r("fwd").alias("fwd21")).join(b.select("date", "symbol", r("fwd").alias("fwd5")), ["date", "symbol"])
 
@@ -235,10 +235,10 @@ w2 AS (SELECT median(gap) AS gap, count(*) AS periods, avg(ls) AS m, stddev_samp
 w3 AS (SELECT *, CASE WHEN gap <= 2 THEN 252 WHEN gap <= 8 THEN 52 ELSE 12 END AS y FROM w2)"""
 
 
-@query(f"{QUANT}, {PERF} SELECT periods, {rd('pow(wealth, y / periods::DOUBLE) - 1', 5)} AS annual_return, {rd('s * sqrt(y)')} AS annual_vol, {rd('m / nullif(s, 0) * sqrt(y)', 5)} AS sharpe, {rd('win_rate')} AS win_rate, {rd('max_drawdown')} AS max_drawdown FROM w3")
+@query(f"{QUANT}, {PERF} SELECT periods, {rd('ln(pow(wealth, y / periods::DOUBLE))', 5)} AS log_annual_return, {rd('s * sqrt(y)')} AS annual_vol, {rd('m / nullif(s, 0) * sqrt(y)', 5)} AS sharpe, {rd('win_rate')} AS win_rate, {rd('max_drawdown')} AS max_drawdown FROM w3")
 def factor_metrics(spark, sf_dir):
     p = research.performance(research.long_short(research.quantile_returns(_quantiles(spark, sf_dir))))
-    return p.select("periods", r("annual_return", 5).alias("annual_return"), r("annual_vol").alias("annual_vol"), r("sharpe", 5).alias("sharpe"), r("win_rate").alias("win_rate"), r("max_drawdown").alias("max_drawdown"))
+    return p.select("periods", r(F.log1p("annual_return"), 5).alias("log_annual_return"), r("annual_vol").alias("annual_vol"), r("sharpe", 5).alias("sharpe"), r("win_rate").alias("win_rate"), r("max_drawdown").alias("max_drawdown"))
 
 
 @query(f"{QUANT}, mm AS (SELECT quantile, avg(ret) AS ret FROM quant GROUP BY quantile), rr AS (SELECT rank() OVER (ORDER BY quantile) AS a, rank() OVER (ORDER BY ret) AS b FROM mm) SELECT {rd('corr(a, b)')} AS monotonicity FROM rr")
