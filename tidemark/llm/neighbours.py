@@ -100,11 +100,11 @@ def search_lists(lists: dict, query_ids, q, probed: list, k: int, block: int, ep
     return d, near
 
 
-def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, lists: int | None = None, rounds: int = 3, block: int = 16, epsilon: float = 2.1, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_probes: int = 24, lists: int | None = None, rounds: int = 3, block: int = 16, epsilon: float = 2.1, seed: int = 7) -> DataFrame:
     """vec_id, neighbour_id, rank (from 1) and distance (Euclidean) of the k nearest to every vector.
 
     lists: number of k-means cells; twice the square root of the number of vectors if not given.
-    probe_share: share of the lists that each query probes. Vectors with little cluster structure need more than half of
+    probe_share: share of the lists that each query probes, at least least_probes of them. Vectors with little cluster structure need more than half of
     them for a recall of 0.9; well separated ones far fewer.
     """
     spark = vectors.sparkSession
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, lists: in
     seeds = some.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(lists).select("embedding").toArrow()["embedding"]
     centres = np.unique(_matrix(seeds.combine_chunks(), dim) @ turn, axis=0)
     lists = len(centres)
-    probes = max(1, min(lists, round(probe_share * lists)))
+    probes = min(lists, max(least_probes, round(probe_share * lists)))
     sizes = np.zeros(lists, np.int64)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centres)  # 2 sqrt(n) rows
