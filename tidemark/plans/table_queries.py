@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import kernels as k
 from tidemark.operators import backtest, ml, quality, research, signals
+from tidemark.plans import weekly
 from tidemark.plans.sql import DAILY_SQL, INTRADAY_SQL, S, WEEK, div, lag, rank_average, roll, z
 from tidemark.sources import bars as bar_sources, synthetic, tables
 from tidemark.streaming import flows
@@ -343,6 +344,12 @@ def feature_importance(spark, sf_dir):
     return ml.feature_importance(_panel(spark, sf_dir), ["mom", "range", "rev"], trees=20)
 
 
+@query()
+def weekly_pipeline(spark, sf_dir):
+    grid, rows = factor_rows(spark, sf_dir)
+    return weekly.run(rows, grid, "equal_weight", least=10, top=10).returns
+
+
 # signals
 
 B = f"WITH {DAILY_SQL}"
