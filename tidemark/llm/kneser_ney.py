@@ -258,10 +258,12 @@ def _write_vocabulary(rows: DataFrame, path: str, parts: int) -> DataFrame:
 
 
 def _count_trigrams(texts: DataFrame, path: str, parts: int) -> DataFrame:
-    def emit(a, c):
+    def emit(kept):
+        a, c = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
+        kept.clear()
         order = np.lexsort((c, a))
         a, c = a[order], c[order]
-        at = _groups(a)
+        del order
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(a)))
@@ -288,12 +290,13 @@ def _count_trigrams(texts: DataFrame, path: str, parts: int) -> DataFrame:
                 seq, at = _sequence(_numbers(path, parts, hashes), rows, len(own))
                 seq = seq.astype(U)
                 kept.append((seq[at - 2] << U(32) | seq[at - 1], seq[at].astype(np.uint32)))
+                del hashes, rows, seq
                 size += len(at)
                 if size >= FLUSH:
-                    yield emit(*(np.concatenate(x) for x in zip(*kept)))
-                    kept, size = [], 0
+                    yield emit(kept)
+                    size = 0
         if size:
-            yield emit(*(np.concatenate(x) for x in zip(*kept)))
+            yield emit(kept)
 
     return texts.mapInArrow(run, _ROW)
 
@@ -308,13 +311,15 @@ def _write_trigrams(rows: DataFrame, path: str, parts: int) -> DataFrame:
                 w1, w2, n, c, k = unpack(blob)
                 heads.append(np.repeat(np.cumsum(w1, dtype=U) << U(32) | w2, n.astype(np.int64)))
                 lasts.append(c.astype(np.uint32))
-                counts.append(k.astype(np.int64))
+                counts.append(k.astype(np.uint32) if int(k.max(initial=0)) < 2**32 else k.astype(np.int64))
             a, c, k = (np.concatenate(x) for x in (heads, lasts, counts))
             del heads, lasts, counts
+            blobs.clear()
             order = np.lexsort((c, a))
             a, c, k = a[order], c[order], k[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-            k = np.add.reduceat(k, first)
+            k = np.add.reduceat(k, first, dtype=np.int64)
             a, c = a[first], c[first]
             at = _groups(a)[:-1]
             k12 = key2(a >> U(32), a & U(0xFFFFFFFF))
@@ -362,7 +367,7 @@ def _write_bigrams(rows: DataFrame, path: str, parts: int) -> DataFrame:
             at = _groups(w2)[:-1]
             stats = _classes(k, at)
             of = np.column_stack([w2[at] // U(parts), *stats]).astype(np.int64)
-            _save(f"{path}/word-{q}", of)
+            _save(f"{path}/word-{q}", of.astype(np.uint32) if of.max(initial=0) < 2**32 else of)
             seen, before = np.unique(w3, return_counts=True)
             part = (seen % U(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
@@ -378,7 +383,7 @@ def _write_bigrams(rows: DataFrame, path: str, parts: int) -> DataFrame:
 
 def _save_words(path: str, p: int, index: np.ndarray, before: np.ndarray) -> None:
     """uni of one part: the statistics of words as contexts joined with the words before them."""
-    after = _load(f"{path}/word-{p}")[0] if os.path.exists(f"{path}/word-{p}") else np.zeros((0, 5), np.int64)
+    after = _load(f"{path}/word-{p}")[0].astype(np.int64) if os.path.exists(f"{path}/word-{p}") else np.zeros((0, 5), np.int64)
     dense = np.zeros((max(index.max(initial=-1), after[:, 0].max(initial=-1)) + 1, 5), np.int64)
     dense[after[:, 0], :4] = after[:, 1:]
     dense[index, 4] = before
@@ -417,6 +422,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
     known = _write_vocabulary(by_part(_count_words(texts, parts)), path, parts).toArrow().to_pydict()
     for p in set(range(parts)) - set(known["part"]):
         _save(f"{path}/voc-{p}", np.zeros(0, U), np.zeros(0, np.uint32))
+    spark.sparkContext._jvm.System.gc()  # the driver drops shuffles that nothing refers to: that of the vocabulary
     bigrams = _write_trigrams(by_part(_count_trigrams(texts, path, parts)), path, parts)
     stats = _write_words(by_part(_write_bigrams(by_part(bigrams), path, parts)), path, parts).toArrow().to_pydict()
     sums = {3: np.zeros(5, np.int64), 2: np.zeros(5, np.int64), 1: np.zeros(5, np.int64)}
@@ -428,6 +434,8 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
                 _write_table(f"{path}/{kind}-{p}", np.zeros(0, U), np.zeros((0, width) if width > 1 else 0, np.int64))
         if not os.path.exists(f"{path}/uni-{p}"):
             _save_words(path, p, np.zeros(0, np.int64), np.zeros(0, np.int64))  # words that only come first
+        if os.path.exists(f"{path}/word-{p}"):
+            os.remove(f"{path}/word-{p}")
     n = sums[1]
     return Model(path, parts, int(n[0]), int(sums[2][0]), tuple(discounts(list(sums[k][1:])) for k in (3, 2, 1)), (int(n[1]), int(n[2]), int(n[0] - n[1] - n[2])))
 
