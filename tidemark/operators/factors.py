@@ -345,7 +345,7 @@ def pairwise_mean_corr(panel: DataFrame, value: str, window: int, min_obs: int,
         wide = wide.loc[:, wide.notna().sum() >= min_obs]
         n = wide.shape[1]
         if n < min_symbols:
-            return pd.DataFrame({"at": [], "symbol": [], "value": []})
+            return pd.DataFrame([], columns=["at", "symbol", "value"])
         if spearman:
             found = _spearman(wide) if wide.isna().any().any() else wide.rank().corr()
         else:
@@ -406,7 +406,7 @@ def lone_goose_daily(grid: DataFrame, min_bars: int = 30, min_calm: int = 10, mi
         wide = wide.loc[:, (wide != 0).any() & (wide.std() > 0)]
         n = wide.shape[1]
         if n < min_symbols:
-            return pd.DataFrame({"date": [], "symbol": [], "value": []})
+            return pd.DataFrame([], columns=["date", "symbol", "value"])
         return pd.DataFrame({"date": key[0], "symbol": wide.columns, "value": ((wide.corr().fillna(0).abs().sum() - 1) / (n - 1)).to_numpy()})
 
     return rows.join(calm.select("date", "i"), ["date", "i"]).select("date", "i", "symbol", "to").groupBy("date").applyInPandas(run, "date date, symbol string, value double")
