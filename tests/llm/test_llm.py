@@ -493,6 +493,21 @@ def test_url_trees_held_out(spark):
         urls.train(urls.blocklist_labels(pages.limit(5), ("nothere",)))
 
 
+def test_url_statistics_take_all_pages_and_labels(spark):
+    hosts = ["ads.example.com/a.php", "shop.example.org/b.html", "news.example.com/c.html"]
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % 3]}?id={i}") for i in range(3000)] + [(3000, None), (3001, " ")], "page_id long, url string")
+    labelled = urls.blocklist_labels(pages.where("page_id % 2 = 0"), ("ads",))
+    model = urls.train(labelled, pages, max_rows=200, trees=2, depth=2)
+    suffixes = {r["__suffix"]: r for r in model.suffixes.collect()}
+    assert {k: r.suffix_count for k, r in suffixes.items()} == pytest.approx({"com": math.log1p(2000), "org": math.log1p(1000)})
+    assert {k: r.suffix_bad for k, r in suffixes.items()} == pytest.approx({"com": (500 + 5 / 3) / 1005, "org": (5 / 3) / 505})
+    extensions = {r["__extension"]: r for r in model.extensions.collect()}
+    assert {k: r.extension_count for k, r in extensions.items()} == pytest.approx({"php": math.log1p(1000), "html": math.log1p(2000)})
+    assert extensions["php"].extension_bad == pytest.approx((500 + 5 / 3) / 505)
+    alone = urls.train(labelled, max_rows=200, trees=2, depth=2).suffixes.collect()
+    assert {r["__suffix"]: r.suffix_count for r in alone} == pytest.approx({"com": math.log1p(1000), "org": math.log1p(500)})
+
+
 # the pipeline
 
 

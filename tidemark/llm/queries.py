@@ -57,7 +57,7 @@ def op9_secret_trigrams(spark, sf_dir):
 def op10_url_trees(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     half = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(2)) == 0)
-    model = urls.train(urls.blocklist_labels(half, BLOCKLIST))
+    model = urls.train(urls.blocklist_labels(half, BLOCKLIST), pages)
     return urls.score(pages, model)
 
 

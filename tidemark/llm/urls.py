@@ -18,6 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.shared import checkpointed
+
 LEXICAL = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "dots", "hyphens", "host_digits", "longest_label", "secure", "fragment")
 SUFFIX = ("suffix_count", "suffix_bad", "extension_count", "extension_bad")
 
@@ -57,11 +59,12 @@ class UrlModel:
     base_rate: float
 
 
-def _statistics(rows: DataFrame, key: str, name: str, base: float, least: int) -> DataFrame:
-    """How often each value of key occurs and is bad; values seen less than `least` times are left out."""
+def _statistics(pages: DataFrame, labelled: DataFrame, key: str, name: str, base: float, least: int) -> DataFrame:
+    """How often each value of key occurs in pages and is bad in labelled; values seen less than `least` times are left out."""
+    bad = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("__label").alias("bad"))
     return (
-        rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("__label").alias("bad")).where(F.col("n") >= least)
-        .select(key, F.log1p("n").alias(f"{name}_count"), ((F.col("bad") + 5 * base) / (F.col("n") + 5)).alias(f"{name}_bad"))
+        pages.groupBy(key).agg(F.count("*").alias("all")).where(F.col("all") >= least).join(bad, key, "left").fillna(0, ["n", "bad"])
+        .select(key, F.log1p("all").alias(f"{name}_count"), ((F.col("bad") + 5 * base) / (F.col("n") + 5)).alias(f"{name}_bad"))
     )
 
 
@@ -71,20 +74,26 @@ def _features(rows: DataFrame, suffixes: DataFrame, extensions: DataFrame, base:
     return VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="__features").transform(rows)
 
 
-def train(labelled: DataFrame, max_rows: int = 200_000, trees: int = 20, depth: int = 4, seed: int = 1) -> UrlModel:
-    """labelled: url, label (0 or 1). At most about max_rows of them are used, chosen by a hash of the URL."""
-    rows = labelled.where(F.col("url").isNotNull() & (F.trim("url") != "") & F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("__label"))
+def train(labelled: DataFrame, pages: DataFrame | None = None, max_rows: int = 200_000, trees: int = 20, depth: int = 4, seed: int = 1) -> UrlModel:
+    """labelled: url, label (0 or 1). pages: all URLs, by which suffixes and extensions are counted; None takes the labelled ones.
+
+    At most about max_rows labelled URLs, chosen by a hash of the URL, fit the trees; the statistics take all.
+    """
+    some = F.col("url").isNotNull() & (F.trim("url") != "")
+    rows = labelled.where(some & F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("__label"))
     n, bad = rows.agg(F.count("*"), F.sum("__label")).first()
     if not n or not 0 < bad < n:
         raise ValueError("labelled URLs of both classes are needed")
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * max_rows / n))
     base = bad / n
     known = lexical(rows)
-    suffixes = _statistics(known, "__suffix", "suffix", base, 5)
-    extensions = _statistics(known, "__extension", "extension", base, 5)
-    made = _features(known, suffixes, extensions, base).withColumn("__weight", F.when(F.col("__label") == 1, 0.5 / base).otherwise(0.5 / (1 - base)))
-    made = made.select("__features", "__label", "__weight")
+    everything = known if pages is None else lexical(pages.where(some).select("url"))
+    suffixes = _statistics(everything, known, "__suffix", "suffix", base, 5)
+    extensions = _statistics(everything, known, "__extension", "extension", base, 5)
+    fitted = known
+    if n > max_rows:
+        fitted = lexical(rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * max_rows / n)))
+    made = _features(fitted, suffixes, extensions, base).withColumn("__weight", F.when(F.col("__label") == 1, 0.5 / base).otherwise(0.5 / (1 - base)))
+    made = checkpointed(made.select("__features", "__label", "__weight"))  # the passes of the fit don't count all URLs again
     model = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed).fit(made)
     return UrlModel(model, suffixes, extensions, base)
 
