@@ -425,6 +425,26 @@ def test_pii_findings(text, kinds):
     assert [k for k, *_ in pii.Finder()(text)] == kinds
 
 
+@pytest.mark.parametrize("text, found", [
+    ("ES9121000418450200051332 is", ["ES9121000418450200051332"]), ("AT611904300234573201 and more", ["AT611904300234573201"]),
+    ("BE68 5390 0754 7034 payment", ["BE68 5390 0754 7034"]), ("AB12 ES91 2100 0418 4502 0005 1332", ["ES91 2100 0418 4502 0005 1332"]),
+    ("ref AB12 BE68 5390 0754 7034 due soon", ["BE68 5390 0754 7034"]), ("es91 2100 0418 4502 0005 1332 1234", ["es91 2100 0418 4502 0005 1332"]),
+    ("BE68 5390 0754 7034 BE68 5390 0754 7034", ["BE68 5390 0754 7034"] * 2), ("ES9121000418450200051333 is", []),
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 123", ["4111111111111111"]), ("4111-1111-1111-1111-12/27", ["4111-1111-1111-1111"]),
+    ("7 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("4111111111111112 123", []),
+    ("4111 1111 1111 1111 12/27 5500 0000 0000 0004 123", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+])
+def test_pii_finds_items_whatever_follows(text, found):
+    assert [text[a:b] for _, a, b, _ in pii.Finder()(text)] == found
+
+
+def test_pii_of_many_numbers_takes_no_quadratic_time():
+    rng = np.random.default_rng(3)
+    text = " ".join(map(str, rng.integers(0, 10_000, 40_000)))
+    spans = [(a, b) for _, a, b, _ in pii.Finder()(text)]
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 def test_pii_redacts_and_keeps_the_rest(spark, odd, none):
     table = spark.createDataFrame([(1, "mail bob@x.example.org or +1 (743) 555-3824.", "k"), (2, None, "k"), (3, "clean", "k"), (3, "clean", "k")], "doc_id long, text string, kind string")
     rows = sorted(map(tuple, pii.redact(table).collect()), key=str)
