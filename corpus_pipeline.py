@@ -30,8 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents by training window, each window in the proportions of the mix."""
-    return packing.pack(docs)
+    """Pieces of documents by training window, each window in the proportions of the mix and in its order."""
+    return packing.pack(docs, mixed=True)
 
 
 STAGES = [

@@ -353,6 +353,41 @@ def test_mix_equals_brute_force(spark, docs):
             assert {r.doc_id: full + (r.doc_id in taken) for r in own} == {r.doc_id: got[r.doc_id, s] for r in own}
 
 
+def test_mix_visits_blocks_in_another_order_each_epoch(spark, docs):
+    from pyspark.sql import functions as F
+
+    docs = docs.select("doc_id", "source", "text").withColumn("source", F.when(F.col("doc_id") % 10 == 0, "small").otherwise("large"))
+    solved = mixing.solve(docs, 1.0, 3.5, blocks=8)
+    mixed = mixing.mix(docs, solved, blocks=8, places=True)
+    assert mixed.columns == [*docs.columns, *mixing.PLACES]
+    got = mixed.select("source", *mixing.PLACES, "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)).alias("block")).collect()
+    orders = defaultdict(list)
+    for r in sorted(got):
+        orders[r.source, r.epoch].append((r.doc_id, r.block))
+    assert max(e for s, e in orders if s == "small") >= 2
+    for (source, epoch), order in orders.items():
+        groups = [b for b, _ in itertools.groupby(order, key=lambda x: x[1])]
+        assert len(groups) == len(set(groups))  # a block at a time
+        if epoch:
+            assert {d for d, _ in order} <= {d for d, _ in orders[source, 0]}
+            assert [d for d, _ in order] != [d for d, _ in orders[source, epoch - 1] if d in dict(order)]
+    assert len({tuple(b for b, _ in itertools.groupby(o, key=lambda x: x[1])) for (s, _), o in orders.items() if s == "small"}) > 2
+
+
+def test_packing_keeps_the_order_of_the_mix(spark, docs):
+    docs = docs.where("doc_id % 3 = 0")
+    mixed = mixing.mix(docs, mixing.solve(docs, 1.0, 4.0), places=True).cache()
+    truth = defaultdict(list)
+    for r in sorted(mixed.where("text rlike '[^ \n]'").select("source", *mixing.PLACES, "doc_id").collect()):
+        truth[r.source].append(r.doc_id)
+    assert any(len(x) > len(set(x)) for x in truth.values())
+    got = defaultdict(list)
+    for r in packing.pack(mixed.select(*docs.columns), window=64, mixed=True).orderBy("source", "window_id", "slot").collect():
+        if r.token_start == 0:
+            got[r.source].append(r.doc_id)
+    assert got == truth
+
+
 def test_mix_odd_tables(spark, odd, none):
     assert mixing.mix(none, mixing.solve(none)).count() == 0
     from pyspark.sql import functions as F

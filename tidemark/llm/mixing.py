@@ -3,14 +3,16 @@
 The weights are realised as budgeted block permutations. Documents of a source fall into hashed blocks; each
 epoch visits the blocks of a source in another hashed order, and documents of a block in hashed order, until
 the source's token budget is spent. The end of a budget is a pair of hash values, so taking part is decided
-row by row against one small row a source: the texts are never shuffled.
+row by row against one small row a source: the texts are never shuffled. Places in the permutation are hash values
+as well: a source is visited in order of (epoch, block_order, doc_order).
 
 Defined results
 - Null sources are one source of their own. Null and empty texts have no tokens: they cost nothing and go
   with their block; a source without any token has weight 0 and all its documents are left out.
 - Repeated rows of a document have the same hashes and stand or fall together.
 - The last epoch never exceeds the budget; it may fall short by less than one document (with its repeats).
-- An empty table gives an empty table. All columns are kept; one named `epoch` is replaced.
+- An empty table gives an empty table. All columns are kept; one named `epoch` is replaced, and with places those
+  named `block_order` and `doc_order`.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 NO_SOURCE = "\ue000none"  # a character for private use: no source is named so
+#: Columns by which the mix visits the documents of a source.
+PLACES = ["epoch", "block_order", "doc_order"]
 
 
 def n_tokens(text: Column) -> Column:
@@ -132,8 +136,6 @@ def solve(docs: DataFrame, entropy_share: float = 0.97, max_epochs: float = 4.0,
     ends = [(s, f, *cut[s]) for s, f in zip(names, full.tolist()) if cut[s][0] is not None]
     ended = {}
     if ends:
-        from pyspark.sql import Window
-
         at_end = F.broadcast(spark.createDataFrame(ends, "__source string, __epoch long, __cut long, __left long"))  # a row a source
         within = Window.partitionBy("__source").orderBy("__key").rangeBetween(Window.unboundedPreceding, 0)
         ended = {r["__source"]: r["__key"] for r in (
@@ -147,9 +149,12 @@ def solve(docs: DataFrame, entropy_share: float = 0.97, max_epochs: float = 4.0,
     return Mix(power, tuple((s, t, x, b, f, cut[s][0], ended.get(s)) for s, t, x, b, f in rows if t > 0))
 
 
-def mix(docs: DataFrame, solved: Mix, blocks: int = 256, seed: int = 1) -> DataFrame:
-    """The rows of docs, as often as the mix takes them, with the `epoch` of each (0 is the first). No shuffle."""
-    docs = docs.drop("epoch")
+def mix(docs: DataFrame, solved: Mix, blocks: int = 256, seed: int = 1, places: bool = False) -> DataFrame:
+    """The rows of docs, as often as the mix takes them, with the `epoch` of each (0 is the first). No shuffle.
+
+    places: with block_order and doc_order, by which each epoch of a source is ordered.
+    """
+    docs = docs.drop("epoch", *PLACES[1:] * places)
     spark: SparkSession = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(
         [(s, f, kb, kd) for s, _, _, _, f, kb, kd in solved.rows], "__source string, __full long, __cut_block long, __cut_doc long"
@@ -159,8 +164,24 @@ def mix(docs: DataFrame, solved: Mix, blocks: int = 256, seed: int = 1) -> DataF
         F.col("__cut_block").isNull() | (key < F.col("__cut_block"))
         | ((key == F.col("__cut_block")) & (F.col("__cut_doc").isNull() | (_doc_key(F.col("__full"), seed) < F.col("__cut_doc"))))
     )
-    return (
+    taken = (
         _keys(docs, blocks, seed).join(small, "__source")
         .withColumn("__times", F.col("__full") + last.cast("long")).where("__times > 0")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)).alias("epoch"))
+        .select(*docs.columns, "__source", "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)).alias("epoch"))
     )
+    return taken.select(*docs.columns, "epoch", *_orders(seed) * places)
+
+
+def _orders(seed: int) -> list[Column]:
+    return [_block_key(F.col("__block"), F.col("epoch"), seed).alias("block_order"), _doc_key(F.col("epoch"), seed).alias("doc_order")]
+
+
+def number_copies(mixed: DataFrame, blocks: int = 256, seed: int = 1) -> DataFrame:
+    """The places again, of a mix whose epoch was dropped: mixed has doc_id, source and what else tells rows apart.
+
+    A row the mix took n times stands in its epochs 0 to n - 1, so that its copies are just numbered. Rows that were
+    repeated before the mix count as further copies, in later epochs.
+    """
+    copies = Window.partitionBy(*mixed.columns).orderBy(F.lit(0))
+    numbered = mixed.withColumn("epoch", F.row_number().over(copies).cast("long") - 1)
+    return _keys(numbered, blocks, seed).select(*mixed.columns, "epoch", *_orders(seed))

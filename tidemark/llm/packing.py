@@ -9,7 +9,8 @@ carried over exactly, without its predecessors: nothing is sequential. When a qu
 proportion.
 
 Defined results
-- Tokens are words. Queues are in order of doc_id (nulls first), repeated rows one after another.
+- Tokens are words. Queues are in order of doc_id (nulls first), repeated rows one after another; those of a mixed
+  table in the order of the mix: by epoch, block and document.
 - Texts without tokens, null or empty ones, are placed nowhere. Null sources are a source of their own.
 - A document that crosses a window's end is continued in the next windows of its source.
 - An empty table gives an empty table. Other columns are ignored.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.mixing import NO_SOURCE, n_tokens
+from tidemark.llm.mixing import NO_SOURCE, n_tokens, number_copies
 from tidemark.llm.shared import checkpointed
 
 
@@ -119,17 +120,24 @@ class Schedule:
 SCHEMA = "window_id long, slot int, source string, doc_id long, token_start long, token_end long"
 
 
-def queues(docs: DataFrame, block_ids: int = 4096) -> DataFrame:
+def queues(docs: DataFrame, block_ids: int = 4096, mixed: bool = False) -> DataFrame:
     """source, doc_id, n and start: the tokens of its source before each document.
 
-    Sums run within blocks of neighbouring ids and over the blocks of a source, never over all rows of one.
+    Sums run within blocks of neighbouring ids (mixed: within the blocks of an epoch) and over the blocks of a source,
+    never over all rows of one.
     """
-    narrow = checkpointed(docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col("doc_id").cast("long"),
-        n_tokens(F.col("text")).alias("n"), F.coalesce(F.floor(F.col("doc_id") / block_ids), F.lit(-1)).cast("long").alias("block"),
-    ).where("n > 0"))
+    narrow = docs.select(
+        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), "doc_id", n_tokens(F.col("text")).alias("n"),
+        *[F.xxhash64("text").alias("text")] * mixed,
+    ).where("n > 0")
+    if mixed:
+        block, place = F.struct("epoch", "block_order"), F.col("doc_order")
+        narrow = number_copies(narrow)
+    else:
+        block, place = F.coalesce(F.floor(F.col("doc_id").cast("long") / block_ids), F.lit(-1)).cast("long"), F.lit(0).cast("long")
+    narrow = checkpointed(narrow.select("source", F.col("doc_id").cast("long").alias("doc_id"), "n", block.alias("block"), place.alias("place")))
     of_source = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    of_block = Window.partitionBy("source", "block").orderBy(F.col("doc_id").asc_nulls_first(), "n").rowsBetween(Window.unboundedPreceding, -1)
+    of_block = Window.partitionBy("source", "block").orderBy("place", F.col("doc_id").asc_nulls_first(), "n").rowsBetween(Window.unboundedPreceding, -1)
     bases = narrow.groupBy("source", "block").agg(F.sum("n").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(of_source), F.lit(0)).alias("base"))
     return (
         narrow.withColumn("within", F.coalesce(F.sum("n").over(of_block), F.lit(0)))
@@ -137,12 +145,13 @@ def queues(docs: DataFrame, block_ids: int = 4096) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, window: int = 4096, weights: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, weights: dict[str, float] | None = None, mixed: bool = False) -> DataFrame:
     """Pieces of documents by window: window_id, slot, source, doc_id, token_start, token_end.
 
     weights: target proportions by source; None takes those of the table itself, so that all queues end together.
+    mixed: docs are what `mixing.mix` took with its defaults, and the queues are in its order.
     """
-    queued = queues(docs)
+    queued = queues(docs, mixed=mixed)
     totals = queued.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").toArrow().to_pydict()  # a row a source
     names, sizes = totals["source"], np.array(totals["n"], np.int64)
     if not names:

@@ -39,7 +39,7 @@ def op5_line_crf(spark, sf_dir):
 
 def op6_temperature_mixing(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing.solve(docs)).select("doc_id", "source", "epoch")
+    return mixing.mix(docs, mixing.solve(docs), places=True).select("doc_id", "source", *mixing.PLACES)
 
 
 def op7_simhash_gray(spark, sf_dir):
