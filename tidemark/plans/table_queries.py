@@ -324,6 +324,12 @@ def _panel(spark, sf_dir):
     return ml.panel(rows.drop("fwd"), rows.select("date", "symbol", "fwd").distinct(), ["mom", "range", "rev"])
 
 
+def _kept_panel(spark, sf_dir):
+    """Without lineage where a folder is set: it would be in the plan of every date's fit and prediction."""
+    rows = _panel(spark, sf_dir)
+    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.cache()
+
+
 @query()
 def ml_panel(spark, sf_dir):
     return _panel(spark, sf_dir)
@@ -331,12 +337,12 @@ def ml_panel(spark, sf_dir):
 
 @query()
 def walk_forward_ridge(spark, sf_dir):
-    return ml.walk_forward(_panel(spark, sf_dir).cache(), ["mom", "range", "rev"], "ridge", last=3)
+    return ml.walk_forward(_kept_panel(spark, sf_dir), ["mom", "range", "rev"], "ridge")
 
 
 @query()
 def walk_forward_forest(spark, sf_dir):
-    return ml.walk_forward(_panel(spark, sf_dir).cache(), ["mom", "range", "rev"], "forest", last=1, trees=20, purge=1)
+    return ml.walk_forward(_kept_panel(spark, sf_dir), ["mom", "range", "rev"], "forest", purge=1)
 
 
 @query()
