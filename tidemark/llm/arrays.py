@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=U)
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -75,6 +76,13 @@ def word_spans(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def token_starts(body: np.ndarray) -> np.ndarray:
+    """Where runs of anything but ASCII white space begin."""
+    token = ~IS_SPACE[body]
+    token[1:] &= IS_SPACE[body[:-1]]
+    return np.flatnonzero(token)
+
+
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: a polynomial over random byte codes, then a finaliser."""
     size = 1 << 21
