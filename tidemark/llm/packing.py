@@ -1,175 +1,192 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows to target proportions.
 
-In each round every source earns its share of a window as deficit and spends whole tokens of its queue; what
-it couldn't spend is carried on. With a quantum of one token this has a closed form: token j of a source with
-rate r is due at position (j + 1/2) / r of the mixed stream, and windows are cut from the stream in order of
-due position, ties by source. A deficit never exceeds a token or so, every window but the last is full, and the
-state at any window follows from its number alone. So any partition starts at any window with the deficits
-carried over exactly, without its predecessors: nothing is sequential. When a queue runs dry its share goes to the others in
-proportion.
+As time passes, each source that has tokens left earns deficit at its weight. Whenever some deficit reaches half a token,
+these sources, in order, send one token each and their deficit falls by one; windows are cut from the stream so made,
+and deficits are carried from window to window. A source that runs dry earns no more, so that its share goes to the
+others in proportion.
+
+With a quantum of one token that has a closed form: token j of a source of weight w is sent at time (2j + 1) / 2w, and
+its place in the stream is the number of tokens that all sources send up to then. Weights are whole numbers, times are
+compared as fractions: places are exact. So any partition starts at any token with the deficits carried over from all
+windows before it, without having seen them: nothing is sequential.
+
+A queue is in hashed order of the blocks of a mix and of the documents within them. Its sums run within blocks and over
+the blocks of a source, never over all rows of one.
 
 Defined results
-- Tokens are words. Queues are in order of doc_id (nulls first), repeated rows one after another; those of a mixed
-  table in the order of the mix: by epoch, block and document.
+- Tokens are words. Queues of a mixed table are in the order of the mix: by epoch, block and document.
+- A window has `window` tokens, the last what is left. Its segments stand by source, then in order of the queue.
+- The text of a segment goes up to its next token, or to the end of the document, and begins with the document if it
+  is its first: segments of a document one after another give its text. Repeated rows are documents of their own.
 - Texts without tokens, null or empty ones, are placed nowhere. Null sources are a source of their own.
-- A document that crosses a window's end is continued in the next windows of its source.
-- An empty table gives an empty table. Other columns are ignored.
+- Sources without a weight come last, in proportion to their sizes. Weights that are negative or no numbers: ValueError.
+- doc_id is NULL where it can't be read as a whole number; such documents are packed as well.
+- An empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.mixing import NO_SOURCE, n_tokens, number_copies
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.arrays import flat, slices, strings, token_starts
+from tidemark.llm.mixing import NO_SOURCE, block_of, block_order, doc_order, identity, n_tokens, number_copies, source_name
+from tidemark.llm.shared import checkpointed, integer_id, plain
+
+WHOLE = 1 << 30  # the largest weight as a whole number
 
 
 @dataclass(frozen=True)
 class Schedule:
-    """How many tokens of each source the windows before a given one hold."""
+    """The stream of all tokens. Sources of one rank share the stream; those of the next rank come after it."""
 
     sizes: np.ndarray  # tokens by source
-    breaks: np.ndarray  # stream positions at which the rates change, from 0
-    rates: np.ndarray  # [phase][source]
-    spent: np.ndarray  # [phase][source], at the breaks
+    weights: np.ndarray  # whole numbers from 1 to WHOLE
+    ranks: np.ndarray  # 0: with a weight, 1: without
     window: int
 
     @classmethod
     def build(cls, sizes: np.ndarray, weights: np.ndarray, window: int) -> "Schedule":
-        """weights must be positive for every source with tokens."""
-        left = sizes.astype(np.float64)
-        spent = np.zeros(len(sizes))
-        at, breaks, rates, spents = 0.0, [], [], []
-        while (left > 0).any():
-            rate = np.where(left > 0, weights, 0.0)
-            if rate.sum() <= 0:
-                raise ValueError("a source with tokens has no weight")
-            rate = rate / rate.sum()
-            breaks.append(at)
-            rates.append(rate)
-            spents.append(spent.copy())
-            with np.errstate(divide="ignore", invalid="ignore"):
-                time = np.where(left > 0, left / rate, np.inf)
-            step = time.min()
-            done = time <= step * (1 + 1e-12)
-            spent = np.where(done & (left > 0), sizes, spent + rate * step)
-            left = np.where(done, 0.0, left - rate * step)
-            at += step
-        return cls(sizes, np.array([*breaks, at]), np.array(rates).reshape(-1, len(sizes)), np.array(spents).reshape(-1, len(sizes)), window)
-
-    @property
-    def windows(self) -> int:
-        return -(-int(self.sizes.sum()) // self.window)
-
-    def _due(self, x: np.ndarray) -> np.ndarray:
-        """Tokens due up to each position, by source."""
-        p = np.clip(np.searchsorted(self.breaks, x, "right") - 1, 0, len(self.rates) - 1)
-        fluid = self.spent[p] + self.rates[p] * (x - self.breaks[p])[:, None]
-        return np.clip(np.floor(fluid + 0.5), 0, self.sizes).astype(np.int64)
-
-    def before(self, k: np.ndarray) -> np.ndarray:
-        """[window][source]: tokens in all windows before k."""
-        target = np.minimum(k * self.window, int(self.sizes.sum()))
-        low = np.maximum(target - len(self.sizes) - 1.0, -1.0)
-        high = target + len(self.sizes) + 1.0
-        for _ in range(64):
-            mid = (low + high) / 2
-            short = self._due(mid).sum(1) < target
-            low, high = np.where(short, mid, low), np.where(short, high, mid)
-        q, top = self._due(low), self._due(high)
-        q = np.where((target >= int(self.sizes.sum()))[:, None], self.sizes, np.where((k <= 0)[:, None], 0, q))
-        # tokens due at the same position: the first sources first
-        more = np.where((target >= int(self.sizes.sum()))[:, None] | (k <= 0)[:, None], 0, top - q)
-        need = np.maximum(target - q.sum(1), 0)
-        earlier = np.cumsum(more, 1) - more
-        return q + np.clip(need[:, None] - earlier, 0, more)
-
-    def span(self, source: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window, both certainly wide enough, for tokens [start, end) of a source."""
-        margin = -(-(len(self.sizes) + 2) // self.window) + 1
-        first, last = np.zeros(len(source), np.int64), np.zeros(len(source), np.int64)
-        for s in np.unique(source):
-            own = source == s
-            at = np.append(self.spent[:, s], self.sizes[s])
-            first[own] = np.interp(start[own], at, self.breaks) // self.window
-            last[own] = np.interp(end[own], at, self.breaks) // self.window
-        return np.maximum(first - margin, 0), np.minimum(last + margin, self.windows - 1)
-
-    def place(self, source: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """(row, window, from, to, slot) of all pieces of token ranges: from and to within the range, slot within the window."""
-        first, last = self.span(source, start, start + size)
-        times = last - first + 1
-        row = np.repeat(np.arange(len(source)), times)
-        k = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(row))
-        ks, at = np.unique(np.concatenate([k, k + 1]), return_inverse=True)
-        q = self.before(ks)
-        low, high = q[at[: len(k)]], q[at[len(k) :]]
-        s = source[row]
-        own = np.arange(len(row))
-        a = np.maximum(start[row], low[own, s])
-        b = np.minimum((start + size)[row], high[own, s])
-        ahead = np.cumsum(high - low, 1)[own, s] - (high - low)[own, s]
-        ok = b > a
-        return row[ok], k[ok], (a - start[row])[ok], (b - start[row])[ok], (ahead + a - low[own, s])[ok]
-
-
-SCHEMA = "window_id long, slot int, source string, doc_id long, token_start long, token_end long"
-
-
-def queues(docs: DataFrame, block_ids: int = 4096, mixed: bool = False) -> DataFrame:
-    """source, doc_id, n and start: the tokens of its source before each document.
-
-    Sums run within blocks of neighbouring ids (mixed: within the blocks of an epoch) and over the blocks of a source,
-    never over all rows of one.
+        """Weights are taken as multiples of the largest over WHOLE."""
+        weights = np.asarray(weights, np.float64)
+        if not np.isfinite(weights).all() or (weights < 0).any():
+            raise ValueError("weights must be numbers from 0 on")
+        if len(sizes) and 2 * int(np.max(sizes)) + 2 >= 1 << 62:
+            raise ValueError("a source has too many tokens")
+        ranks = (weights == 0).astype(np.int64)
+        own = np.where(ranks == 0, weights, sizes)
+        largest = np.array([own[ranks == r].max(initial=0) or 1.0 for r in (0, 1)])[ranks]
+        return cls(np.asarray(sizes, np.int64), np.maximum(np.round(own / largest * WHOLE), 1).astype(np.int64), ranks, window)
+
+    def position(self, source: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The place in the stream of a token of each source, by its number in the source's queue."""
+        # with odd = 2 token + 1 and weight w, the tokens i of a source of weight a that come no later have (2i + 1) w <= odd a
+        w = self.weights[source]
+        times, rest = np.divmod(2 * token + 1, w)
+        out = np.full(len(source), -1, np.int64)
+        for t, (a, n, rank) in enumerate(zip(self.weights.tolist(), self.sizes.tolist(), self.ranks.tolist())):
+            most = 2 * n + 2
+            more = rest * a
+            odd = np.minimum(times, most // a + 1) * a + more // w - ((source < t) & (more % w == 0))  # of equal times the first source
+            own = self.ranks[source]
+            out += np.where(own == rank, np.minimum((odd + 1) // 2, n), np.where(own > rank, n, 0))
+        return out
+
+    def pieces(self, source: np.ndarray, start: np.ndarray, size: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, window, from, to) of the pieces of token ranges that begin at `start` of their queues, by row; of so many ranges at a time that about `chunk` numbers are in hand."""
+        last = start + size - 1
+        first_window, last_window = (self.position(source, x) // self.window for x in (start, last))
+        cuts = last_window - first_window
+        dense = cuts * 16 >= size  # rare tokens, nearly each in a window of its own: placed one by one
+        work = np.cumsum(np.where(dense, size, cuts + 1))
+        at = 0
+        while at < len(source):
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + chunk)))
+            yield self._pieces(source[at:to], start[at:to], size[at:to], first_window[at:to], cuts[at:to], dense[at:to], at)
+            at = to
+
+    def _pieces(self, source, start, size, first_window, cuts, dense, offset):
+        n = np.where(dense, size - 1, cuts)
+        row = np.repeat(np.arange(len(source)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+        s, own = source[row], dense[row]
+        # the end of a window: its first token behind is in (low, high]
+        low = np.where(own, start[row] + step - 1, start[row])
+        high = np.where(own, start[row] + step, start[row] + size[row] - 1)
+        goal = (first_window[row] + step) * self.window
+        while len(open_ := np.flatnonzero(high - low > 1)):
+            mid = (low[open_] + high[open_]) // 2
+            before = self.position(s[open_], mid) < goal[open_]
+            low[open_], high[open_] = np.where(before, mid, low[open_]), np.where(before, high[open_], mid)
+        # a range begins at its start and at every cut; equal cuts leave nothing between them
+        everything = np.concatenate([np.arange(len(source)), row])
+        begin = np.concatenate([start, high])
+        order = np.lexsort((begin, everything))
+        everything, begin = everything[order], begin[order]
+        new = np.concatenate([[True], (everything[1:] != everything[:-1]) | (begin[1:] != begin[:-1])]) if len(begin) else np.zeros(0, bool)
+        everything, begin = everything[new], begin[new]
+        window = self.position(source[everything], begin) // self.window
+        new = np.concatenate([[True], (everything[1:] != everything[:-1]) | (window[1:] != window[:-1])]) if len(begin) else np.zeros(0, bool)
+        everything, begin, window = everything[new], begin[new], window[new]
+        end = np.append(begin[1:], 0)
+        final = np.append(everything[1:] != everything[:-1], True)[: len(begin)]
+        end[final] = (start + size)[everything[final]]
+        return everything + offset, window, begin - start[everything], end - start[everything]
+
+
+def queues(docs: DataFrame, mixed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The queued documents (source, block, doc_id, epoch, text, n, and within: the tokens of its block before it); and of each
+    block of a source, by epoch, the tokens of the source before it and in it.
+
+    Texts are shuffled once, by source and block: copies are numbered and sums run within that partitioning.
     """
-    narrow = docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), "doc_id", n_tokens(F.col("text")).alias("n"),
-        *[F.xxhash64("text").alias("text")] * mixed,
+    docs, _, (doc_id, source, text) = plain(docs, ("doc_id", "source", "text"))
+    who = identity(F.col(doc_id), F.col(text))
+    rows = docs.select(
+        source_name(F.col(source)).alias("source"), block_of(who).alias("block"), who.alias("own"), integer_id(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("hash"), n_tokens(F.col(text)).alias("n"), F.col(text).alias("text"),
     ).where("n > 0")
-    if mixed:
-        block, place = F.struct("epoch", "block_order"), F.col("doc_order")
-        narrow = number_copies(narrow)
-    else:
-        block, place = F.coalesce(F.floor(F.col("doc_id").cast("long") / block_ids), F.lit(-1)).cast("long"), F.lit(0).cast("long")
-    narrow = checkpointed(narrow.select("source", F.col("doc_id").cast("long").alias("doc_id"), "n", block.alias("block"), place.alias("place")))
-    of_source = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    of_block = Window.partitionBy("source", "block").orderBy("place", F.col("doc_id").asc_nulls_first(), "n").rowsBetween(Window.unboundedPreceding, -1)
-    bases = narrow.groupBy("source", "block").agg(F.sum("n").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(of_source), F.lit(0)).alias("base"))
-    return (
-        narrow.withColumn("within", F.coalesce(F.sum("n").over(of_block), F.lit(0)))
-        .join(bases, ["source", "block"]).select("source", "doc_id", "n", (F.col("base") + F.col("within")).alias("start"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return number_copies(rows, ("source", "block", "own", "doc_id", "hash", "n")) if mixed else rows.withColumn("epoch", F.lit(0).cast("long"))
+
+    of_source = Window.partitionBy("source").orderBy("epoch", "block_order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed(rows.drop("text")).groupBy("source", "block", "epoch").agg(F.sum("n").alias("n"))
+    blocks = checkpointed(
+        blocks.withColumn("block_order", block_order(F.col("source"), F.col("block"), F.col("epoch")))
+        .withColumn("base", F.coalesce(F.sum("n").over(of_source), F.lit(0))).select("source", "block", "epoch", "n", "base")
     )
+    own = Window.partitionBy("source", "block", "epoch").orderBy(doc_order(F.col("own"), F.col("epoch")), "own", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return placed(rows.repartition("source", "block")).withColumn("within", F.coalesce(F.sum("n").over(own), F.lit(0))), blocks
 
 
-def pack(docs: DataFrame, window: int = 4096, weights: dict[str, float] | None = None, mixed: bool = False) -> DataFrame:
-    """Pieces of documents by window: window_id, slot, source, doc_id, token_start, token_end.
+SCHEMA = "window_id long, number int, at long, source string, doc_id long, epoch long, token_start long, token_end long, text string"
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def pack(docs: DataFrame, window: int = 4096, weights: dict[str | None, float] | None = None, mixed: bool = False) -> DataFrame:
+    """One row a window: window_id, n_tokens, doc_ids and segments (source, doc_id, epoch, token_start, token_end, text).
 
     weights: target proportions by source; None takes those of the table itself, so that all queues end together.
     mixed: docs are what `mixing.mix` took with its defaults, and the queues are in its order.
     """
-    queued = queues(docs, mixed=mixed)
-    totals = queued.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").toArrow().to_pydict()  # a row a source
+    queued, blocks = queues(docs, mixed)
+    totals = blocks.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").toArrow().to_pydict()  # a row a source
     names, sizes = totals["source"], np.array(totals["n"], np.int64)
-    if not names:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    target = sizes.astype(np.float64) if weights is None else np.array([weights.get(n, 0.0) for n in names], np.float64)
-    schedule = Schedule.build(sizes, target, window)
+    given = None if weights is None else {NO_SOURCE if k is None else k: v for k, v in weights.items()}
+    schedule = Schedule.build(sizes, sizes if given is None else np.array([given.get(n, 0.0) for n in names], np.float64), window)
     number = {n: i for i, n in enumerate(names)}
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                own = batch.slice(at, 2000)
-                label = own.column("source")
-                source = np.array([number[s] for s in label.to_pylist()], np.int64)
-                row, k, a, b, slot = schedule.place(source, np.asarray(own.column("start")), np.asarray(own.column("n")))
-                took = pa.array(row)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(k), pa.array(slot.astype(np.int32)), label.take(took), own.column("doc_id").take(took), pa.array(a), pa.array(b),
-                ], names=["window_id", "slot", "source", "doc_id", "token_start", "token_end"])
-
-    return queued.mapInArrow(run, SCHEMA)
+            label = batch.column("source")
+            source = np.array([number[s] for s in label.to_pylist()], np.int64)
+            n, start = np.asarray(batch.column("n")), np.asarray(batch.column("start"))
+            for first, own in slices(strings(batch.column("text"))):
+                body, at = flat(own, lower=False)
+                tokens, data = token_starts(body), body.tobytes()
+                head, to = np.searchsorted(tokens, at), first + len(own)
+                for row, k, a, b in schedule.pieces(source[first:to], start[first:to], n[first:to]):
+                    begin = np.where(a == 0, at[row], tokens[head[row] + a])
+                    end = np.where(b == n[first + row], at[row + 1] - 1, tokens[np.minimum(head[row] + b, len(tokens) - 1)])
+                    took = pa.array(first + row)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(k), pa.array(source[first + row].astype(np.int32)), pa.array(start[first + row] + a), label.take(took), batch.column("doc_id").take(took),
+                        batch.column("epoch").take(took), pa.array(a), pa.array(b), pa.array([data[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.string()),
+                    ], names=_NAMES)
+
+    bases = blocks.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "base"))).alias("bases"))
+    pieces = (
+        queued.join(bases, ["source", "block"])
+        .select("source", "doc_id", "epoch", "text", "n", (F.element_at("bases", F.col("epoch")) + F.col("within")).alias("start")).mapInArrow(run, SCHEMA)
+    )
+    whole = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct(*_NAMES[1:]))).alias("s"))
+    kept = lambda x: F.struct(F.nullif(x["source"], F.lit(NO_SOURCE)).alias("source"), *(x[c].alias(c) for c in _NAMES[4:]))
+    return whole.select(
+        "window_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["token_end"] - x["token_start"]).alias("n_tokens"),
+        F.transform("s", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("s", kept).alias("segments"),
+    )
