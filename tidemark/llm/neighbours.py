@@ -6,10 +6,12 @@ abandons every candidate whose partial distance, scaled to D dimensions, exceeds
 than chance explains: sqrt(D / d) * partial > (1 + epsilon / sqrt(d)) * best. What survives all blocks has its exact
 distance. Lists are the cells of k-means over all vectors; every vector is a query and probes the nearest lists.
 
-Lists are gathered in as many groups as there are shuffle partitions; a query travels once to each group with a list
-that it probes, not once a list, and its best distance so far is carried from list to list within the group.
+Lists are gathered in groups of about GROUP_BYTES of vectors, at least as many as there are shuffle partitions; a query travels
+once to each group with a list that it probes, not once a list, and its best distance so far is carried from list to list
+within the group. Sums of a round of k-means are added up by list on the executors; the driver gets the centres.
 
 Defined results
+- Ids that can't be read as whole numbers count as missing; rows without an id have no neighbours and are none.
 - Vectors that are null, hold a null or NaN, or have another length than most have no neighbours and are none.
 - A vector isn't its own neighbour; others with equal values are, at distance 0. Ties go to the lower id.
 - Rows that repeat an id and its values count once. Fewer than k others give fewer rows; an empty table gives none.
@@ -22,6 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.shared import integer_id, plain
+
+GROUP_BYTES = 64 << 20
+
 
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -109,8 +115,9 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
-    some = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
-    some = some.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
+    table, _, (vec_id, embedding) = plain(vectors, ("vec_id", "embedding"))
+    some = table.select(integer_id(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"))
+    some = some.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where((F.size("embedding") > 0) & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     common = some.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return empty
@@ -122,7 +129,7 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
     centres = np.unique(_matrix(seeds.combine_chunks(), dim) @ turn, axis=0)
     lists = len(centres)
     probes = min(lists, max(least_probes, round(probe_share * lists)))
-    sizes = np.zeros(lists, np.int64)
+    sizes, partitions = np.zeros(lists, np.int64), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centres)  # 2 sqrt(n) rows
 
@@ -133,17 +140,31 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
                 x = _matrix(batch.column("embedding"), dim) @ turn
                 for a in range(0, len(x), 4096):
                     own = np.argmin((c * c).sum(1) - 2 * (x[a : a + 4096] @ c.T), 1)
-                    np.add.at(total, own, x[a : a + 4096])
+                    by = np.argsort(own, kind="stable")
+                    at = np.flatnonzero(np.diff(own[by], prepend=-1))
+                    total[own[by[at]]] += np.add.reduceat(x[a : a + 4096][by].astype(np.float64), at)
                     count += np.bincount(own, minlength=len(c))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names=["total", "count"])
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([t.tobytes() for t in total[some]], pa.binary()), pa.array(count[some])], names=["cell", "total", "n"])
 
-        total, sizes = np.zeros(centres.shape), np.zeros(lists, np.int64)
-        for row in some.select("embedding").mapInArrow(sums, "total binary, count binary").toLocalIterator():
-            total += np.frombuffer(row["total"]).reshape(centres.shape)
-            sizes += np.frombuffer(row["count"], np.int64)
-        centres = np.where(sizes[:, None] > 0, total / np.maximum(sizes, 1)[:, None], centres).astype(np.float32)
+        def add(batches, dim=dim):
+            found: dict[int, list] = {}
+            for batch in batches:
+                for cell, total, n in zip(*(batch.column(c).to_pylist() for c in ("cell", "total", "n"))):
+                    own = found.setdefault(cell, [np.zeros(dim), 0])
+                    own[0] += np.frombuffer(total)
+                    own[1] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([t.tobytes() for t, _ in found.values()], pa.binary()), pa.array([n for _, n in found.values()], pa.int64())], names=["cell", "total", "n"])
+
+        kind = "cell long, total binary, n long"
+        new = some.select("embedding").mapInArrow(sums, kind).repartition(partitions, "cell").mapInArrow(add, kind).toArrow()  # a row a list
+        at, sizes = np.asarray(new["cell"]), np.zeros(lists, np.int64)
+        sizes[at] = np.asarray(new["n"])
+        centres = centres.copy()
+        centres[at] = np.array([np.frombuffer(t) for t in new["total"].to_pylist()]).reshape(-1, dim) / sizes[at, None]
+        shared.unpersist()
     shared = spark.sparkContext.broadcast(centres)
-    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), lists))
+    groups = max(1, min(max(partitions, -(-n * dim * 4 // GROUP_BYTES)), lists))
     # lists in groups of about as many members
     group = np.empty(lists, np.int64)
     load = np.zeros(groups)
