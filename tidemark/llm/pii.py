@@ -6,7 +6,10 @@ Defined results
   search goes on one character after its start. Of overlapping spans of a rule a confirmed one wins, then the longer,
   then the earlier; of those of several rules the one with the higher score, then the longer, then the earlier.
 - Offsets are in characters of the original text, ends exclusive.
-- Repeated rows give repeated findings. Extra columns are kept by `redact` and ignored by `find`.
+- Phone numbers have 7 to 15 digits after a plus sign, or the three groups of North America; those separated by spaces only
+  count beside a context word.
+- Repeated rows give repeated findings. Extra columns, whatever their names, are kept by `redact` and ignored by `find`;
+  doc_id is NULL where it can't be read as a whole number.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.arrays import strings
+from tidemark.llm.shared import integer_id, plain
 
 
 def luhn(digits: str) -> bool:
@@ -104,11 +108,13 @@ class Rule:
     ends: object = None
 
 
+_PHONE_WORDS = ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone")
 RULES = (
     Rule("email", r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])", 0.9, words=("mail", "email", "contact", "contacto", "courriel")),
     Rule("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)", 0.3, _card, 0.5, -0.3, ("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta"), ends=_separated),
     Rule("iban", r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w)", 0.2, _iban, 0.7, -0.2, ("iban", "account", "konto", "compte", "cuenta"), ends=_iban_ends),
-    Rule("phone", r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", 0.6, words=("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone")),
+    Rule("phone", r"(?<![\w.+(-])\+[1-9](?:[ .()-]{0,2}\d){6,14}(?![\w-])|(?<![\w.+(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", 0.6, words=_PHONE_WORDS),
+    Rule("phone", r"(?<![\w.+(-])(?<!\d )\d{3} \d{3} \d{4}(?![\w-])(?! ?\d)", 0.4, words=_PHONE_WORDS),
     Rule("ip", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", 0.3, _ip, 0.3, -0.3, ("ip", "address", "server", "host", "login")),
     Rule("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.2, _ssn, 0.3, -0.2, ("ssn", "social", "security"), 0.3),
 )
@@ -204,13 +210,15 @@ def find(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, FINDINGS)
+    docs, _, (doc_id, text) = plain(docs, ("doc_id", "text"))
+    return docs.select(integer_id(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FINDINGS)
 
 
 def redact(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
     """docs with every finding in text replaced by its kind in angle brackets; all other columns as they were."""
     finder = finder or Finder()
-    at = docs.columns.index("text")
+    docs, names, (text,) = plain(docs, ("text",))
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
@@ -230,4 +238,4 @@ def redact(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
                 column = pa.concat_arrays([*done, column.slice(last)])
             yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields)).toDF(*names)
