@@ -9,16 +9,19 @@ Defined results
   a conversation of system turns alone gives no row. A null text is an empty turn.
 - Rows without conv_id are one conversation.
 - `<|` in texts and roles becomes `< |`, so that no text can forge a mark; line breaks in roles become spaces.
-- Other columns are ignored.
+- Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.shared import fields
+
 
 def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, n_turns, rendered, mask: `start:end` of the trained ranges, joined by commas."""
+    conversations = fields(conversations, "conv_id", "turn", "role", "text")
     role = F.trim(F.regexp_replace(F.replace(F.coalesce("role", F.lit("")), F.lit("<|"), F.lit("< |")), r"[\r\n]", " "))
     turns = conversations.select(
         "conv_id",

@@ -8,8 +8,9 @@ Defined results
 - Lines without a word are decoded too, but carry no weight in the share (weights are letters and digits).
 - Repeated rows are decided each on its own, so alike; all columns of the input are kept and a column of
   the input named like a result column is replaced.
-- An empty table gives an empty table.
-- With no labelled documents of both classes there is nothing to learn and `fit` raises ValueError.
+- An empty table gives an empty table. Columns are found without regard to case and may have any names.
+- Without labelled documents of both classes there is nothing to learn: `fit` gives a model that takes every line for content.
+- Of rows that repeat a labelled doc_id, that of the lowest text is learnt from; ids are compared as whole numbers.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.arrays import IS_WORD, flat, slices, span_hashes, strings, word_spans
+from tidemark.llm.shared import fields, integer_id, plain
 
 CONTENT, BOILERPLATE = 1, 0
 SLICE = 1 << 20  # bytes of whole texts handled at a time
@@ -189,15 +191,19 @@ def fit_lines(x: np.ndarray, first: np.ndarray, quality: np.ndarray, rounds: int
     return LineModel(mean, scale, theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:])
 
 
+def all_content() -> LineModel:
+    """The model of nothing learnt: every line is content."""
+    n = len(FEATURES)
+    return LineModel(np.zeros(n), np.ones(n), np.append(np.zeros(n), 1.0), np.zeros((2, 2)), np.zeros(2))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineModel:
     """Learn from at most `sample_docs` labelled documents of each class, the first by a hash of doc_id.
 
     docs: doc_id, text. labels: doc_id, quality (1 good, 0 bad; others are ignored).
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    )
+    labels = fields(labels, "doc_id", "quality").select(integer_id("doc_id").alias("doc_id"), F.col("quality").try_cast("int").alias("quality"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     parts = [
         known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for q in (0, 1)
     ]
@@ -219,13 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> LineMode
                 pa.array(np.diff(first).astype(np.int32)),
             ], names=schema.names)
 
+    texts = fields(docs, "doc_id", "text").select(integer_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # one text an id, and so no more than 2 x sample_docs
     rows = (
-        docs.select(F.col("doc_id").cast("long"), "text").join(chosen.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-        .select("doc_id", "text", "quality").mapInArrow(features, schema).toArrow().sort_by("doc_id")
+        texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+        .mapInArrow(features, schema).toArrow().sort_by("doc_id")
     )
     quality = np.asarray(rows["quality"])
     if len(set(quality.tolist())) < 2:
-        raise ValueError("labelled documents of both classes are needed")
+        return all_content()
     counts = np.asarray(rows["n"])
     x = np.concatenate([np.frombuffer(b, np.float32) for b in rows["features"].to_pylist()]).reshape(-1, len(FEATURES))
     return fit_lines(x.astype(np.float64), np.concatenate([[0], np.cumsum(counts)]), quality)
@@ -250,12 +258,11 @@ RESULT = ("n_lines", "n_content_lines", "content_share", "keep")
 
 def label_documents(docs: DataFrame, model: LineModel, threshold: float = 0.5, drop_text: bool = False) -> DataFrame:
     """All rows of docs with n_lines, n_content_lines, content_share and keep. No shuffle."""
-    docs = docs.drop(*RESULT)
-    out = docs.drop("text") if drop_text else docs
+    docs, names, (column,) = plain(docs, ("text",), RESULT)
+    text = docs.columns.index(column)
+    keep = [i for i in range(len(names)) if i != text or not drop_text]
     kinds = (T.LongType(), T.LongType(), T.DoubleType(), T.BooleanType())
-    schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in zip(RESULT, kinds))])
-    keep = [docs.columns.index(c) for c in out.columns]
-    text = docs.columns.index("text")
+    schema = T.StructType([*(docs.schema.fields[i] for i in keep), *(T.StructField(n, k) for n, k in zip(RESULT, kinds))])
 
     def run(batches):
         for batch in batches:
@@ -265,4 +272,4 @@ def label_documents(docs: DataFrame, model: LineModel, threshold: float = 0.5, d
                 continue
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *map(pa.array, found)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*(names[i] for i in keep), *RESULT)
