@@ -8,6 +8,8 @@ come together in one task whatever its last word; each task writes its part of t
     bi    hash(w2, w3)     -> words seen before it      by w2
     uni   w                -> total, n1, n2, n3+ of the bigrams after it, words seen before it
 
+There are as many parts as the bytes of all texts ask for, so that what a task sorts doesn't grow with the corpus.
+
 Keys are 48 bits (16 choose a sub-bucket, 32 are stored), counts are exact. Scoring maps the arrays into
 memory, so that workers of a machine share them and only touched pages are read; queries of a batch are grouped
 by file. The files are written under another name and then renamed: a task that is run again does no harm.
@@ -19,6 +21,8 @@ Defined results
 - A null text has null scores. A text without words is scored on its end alone.
 - Repeated rows count as often as they occur. Other columns are ignored. An empty corpus gives a model in which
   every word has the uniform probability over the unknown word and the end.
+- doc_id is NULL where it can't be read as a whole number. A corpus whose words need numbers beyond 32 bits is refused
+  with OverflowError.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ from __future__ import annotations
 import mmap
 import os
 import pickle
+import shutil
 import struct
+import sys
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.arrays import mix, slices, strings, words
-from tidemark.llm.shared import shared_path
+from tidemark.llm.shared import integer_id, plain, shared_path
 
 U = np.uint64
 UNKNOWN, START, END, RESERVED = 0, 1, 2, 3
 FLUSH = 4_000_000
+PART_BYTES = 17 << 20  # of texts to a part of the model
+_MAP = {"trackfd": False} if sys.version_info >= (3, 13) else {}  # else the file stays open as long as its map
 
 
 def _save(path: str, *arrays: np.ndarray) -> None:
@@ -57,9 +65,9 @@ def _save(path: str, *arrays: np.ndarray) -> None:
 
 @lru_cache(maxsize=8192)
 def _load(path: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory. No file stays open."""
+    """The arrays of a file, mapped into memory."""
     with open(path, "rb") as f:
-        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_MAP)
     (n,) = struct.unpack_from("<Q", data)
     at, out = 8 + n, []
     for kind, shape in pickle.loads(data[8:at]):
@@ -115,6 +123,32 @@ def key3(k: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(k ^ mix(c.astype(U) + U(0x2545F491)))
 
 
+def _widths(*arrays: np.ndarray) -> list[int]:
+    return [int(a.max(initial=0)).bit_length() for a in arrays]
+
+
+def _trigram_order(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Order of trigrams with contexts a (w1, w2 in 32 bits each) and last words c. Their bits mostly fit into one number."""
+    w1, w2 = a >> U(32), a & U(0xFFFFFFFF)
+    _, b2, b3 = bits = _widths(w1, w2, c)
+    if sum(bits) > 64:
+        return np.lexsort((c, a))
+    return np.argsort(w1 << U(b2 + b3) | w2 << U(b3) | c.astype(U))
+
+
+def _sorted_trigrams(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w1, w2 = a >> U(32), a & U(0xFFFFFFFF)
+    _, b2, b3 = bits = _widths(w1, w2, c)
+    if sum(bits) > 64:
+        order = np.lexsort((c, a))
+        return a[order], c[order]
+    code = w1 << U(b2 + b3) | w2 << U(b3) | c.astype(U)
+    del w1, w2, a, c
+    code.sort()
+    low = lambda b: U((1 << b) - 1)
+    return code >> U(b2 + b3) << U(32) | code >> U(b3) & low(b2), (code & low(b3)).astype(np.uint32)
+
+
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key & U(0xFFFF)) * U(parts) >> U(16)).astype(np.int64)
 
@@ -186,6 +220,10 @@ class Model:
     discounts: tuple[tuple[float, float, float], ...]
     uni: tuple[int, int, int]  # words preceded by 1, 2, 3+ different words
 
+    def delete(self) -> None:
+        """Removes the arrays from the shared folder. Nothing can be scored any more."""
+        shutil.rmtree(self.path)
+
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Chen and Goodman's estimates from the numbers of items counted 1 to 4 times; 0.5, 1, 1.5 where undefined."""
@@ -261,9 +299,7 @@ def _count_trigrams(texts: DataFrame, path: str, parts: int) -> DataFrame:
     def emit(kept):
         a, c = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
         kept.clear()
-        order = np.lexsort((c, a))
-        a, c = a[order], c[order]
-        del order
+        a, c = _sorted_trigrams(a, c)
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(a)))
@@ -315,7 +351,7 @@ def _write_trigrams(rows: DataFrame, path: str, parts: int) -> DataFrame:
             a, c, k = (np.concatenate(x) for x in (heads, lasts, counts))
             del heads, lasts, counts
             blobs.clear()
-            order = np.lexsort((c, a))
+            order = _trigram_order(a, c)
             a, c, k = a[order], c[order], k[order]
             del order
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
@@ -409,12 +445,15 @@ def _write_words(rows: DataFrame, path: str, parts: int) -> DataFrame:
 
 
 def train(docs: DataFrame, parts: int | None = None) -> Model:
-    """Count the model over all texts of docs. parts: files of each kind; the shuffle partitions if not given."""
+    """Count the model over all texts of docs. parts: files of each kind; one to PART_BYTES of texts if not given, 8 at least."""
     spark: SparkSession = docs.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs, _, (text,) = plain(docs, ("text",))
+    texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    if parts is None:
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(8, -(-size // PART_BYTES))
     path = shared_path(spark, "kneser-ney")
     os.makedirs(path)
-    texts = docs.select("text").where(F.col("text").isNotNull())
 
     def by_part(df: DataFrame) -> DataFrame:
         return df.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int"))
@@ -422,7 +461,8 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
     known = _write_vocabulary(by_part(_count_words(texts, parts)), path, parts).toArrow().to_pydict()
     for p in set(range(parts)) - set(known["part"]):
         _save(f"{path}/voc-{p}", np.zeros(0, U), np.zeros(0, np.uint32))
-    spark.sparkContext._jvm.System.gc()  # the driver drops shuffles that nothing refers to: that of the vocabulary
+    if max(known["n"], default=0) * parts + RESERVED >= 1 << 32:
+        raise OverflowError("the vocabulary needs word numbers beyond 32 bits")
     bigrams = _write_trigrams(by_part(_count_trigrams(texts, path, parts)), path, parts)
     stats = _write_words(by_part(_write_bigrams(by_part(bigrams), path, parts)), path, parts).toArrow().to_pydict()
     sums = {3: np.zeros(5, np.int64), 2: np.zeros(5, np.int64), 1: np.zeros(5, np.int64)}
@@ -456,7 +496,8 @@ def _words_of(model: Model, w: np.ndarray) -> np.ndarray:
 
 def _find(model: Model, kind: str, part: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
     out = np.zeros((len(keys), width) if width > 1 else len(keys), np.int64)
-    by = np.lexsort((keys, part))
+    # by part, then as the tables are sorted: by the 48 bits of the keys that these hold
+    by = np.argsort(part.astype(U) << U(48) | keys >> U(16)) if model.parts <= 65536 else np.lexsort((keys, part))
     cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         i = by[cuts[p] : cuts[p + 1]]
@@ -510,4 +551,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 batch.column("doc_id"), pa.array(n, mask=mask), pa.array(total, mask=mask), pa.array(np.exp(-total / np.maximum(n, 1)), mask=mask),
             ], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    docs, _, (doc_id, text) = plain(docs, ("doc_id", "text"))
+    return docs.select(integer_id(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

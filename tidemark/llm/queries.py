@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import chat, crf, kneser_ney, mixing, neighbours, packing, pii, secrets, simhash, urls
+from tidemark.llm.shared import checkpointed
 
 #: Host words of the list from which URLs are labelled.
 BLOCKLIST = ("spam", "pills", "casino", "adult", "bets", "ads")
@@ -16,7 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_kneser_ney(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return kneser_ney.score(docs, kneser_ney.train(docs))
+    model = kneser_ney.train(docs)
+    scores = checkpointed(kneser_ney.score(docs, model))  # so that the model can go
+    model.delete()
+    return scores
 
 
 def op2_adaptive_neighbours(spark, sf_dir):
@@ -28,7 +32,8 @@ def op3_chat_perspectives(spark, sf_dir):
 
 
 def op4_mixture_packing(spark, sf_dir):
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack(docs, weights=mixing.solve(docs).weights())
 
 
 def op5_line_crf(spark, sf_dir):
