@@ -153,13 +153,32 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key & U(0xFFFF)) * U(parts) >> U(16)).astype(np.int64)
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of values, and for each row its number among them. Counts are mostly small, so that few are sorted."""
+    if values.ndim == 1:
+        top = int(values.max(initial=0))
+        if top >= max(1 << 20, 4 * len(values)):
+            return np.unique(values, return_inverse=True)
+        there = np.zeros(top + 1, bool)
+        there[values] = True
+        return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
+    codes = np.zeros(len(values), np.int64)
+    for column in values.T:
+        table, own = _coded(column)
+        codes = _coded(codes * len(table) + own)[1]
+    first = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+    first[codes] = np.arange(len(codes))
+    return values[first], codes
+
+
 def _write_table(path: str, keys: np.ndarray, values: np.ndarray) -> None:
     """A sorted hash array: offsets of sub-buckets, 32 bits a key, and for each a number of a row of distinct values."""
     order = np.argsort(keys)
     keys = keys[order]
     offsets = np.searchsorted(keys >> U(48), np.arange(65537, dtype=U)).astype(np.uint64 if len(keys) >= 2**32 else np.uint32)
-    table, codes = np.unique(values[order], axis=0, return_inverse=True) if values.ndim > 1 else np.unique(values[order], return_inverse=True)
-    _save(path, offsets, ((keys >> U(16)) & U(0xFFFFFFFF)).astype(np.uint32), table, codes.reshape(-1).astype(np.min_scalar_type(max(len(table) - 1, 0))))
+    table, codes = _coded(values)
+    codes = codes.astype(np.min_scalar_type(max(len(table) - 1, 0)))[order]
+    _save(path, offsets, ((keys >> U(16)) & U(0xFFFFFFFF)).astype(np.uint32), table, codes)
 
 
 def _lookup(path: str, keys: np.ndarray, width: int) -> np.ndarray:
