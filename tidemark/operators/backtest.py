@@ -78,10 +78,18 @@ def fifo_matches(filled: DataFrame) -> DataFrame:
     rows = rows.withColumn("over", F.least(F.min("flow").over(w), F.lit(0)))
     sold = F.col("buy") - (F.col("flow") - F.col("over"))
     rows = rows.withColumn("closed", sold).withColumn("closed_before", F.coalesce(F.lag("closed").over(Window.partitionBy("symbol").orderBy("date", "order_id")), F.lit(0)))
-    buys = rows.where("quantity > 0").select("symbol", (F.col("buy") - F.col("quantity")).alias("b_lo"), F.col("buy").alias("b_hi"), F.col("price").alias("entry"), F.col("order_id").alias("buy_id"))
-    sells = rows.where("quantity < 0").select("symbol", F.col("closed_before").alias("s_lo"), F.col("closed").alias("s_hi"), F.col("price").alias("exit"), F.col("order_id").alias("sell_id"))
-    both = buys.join(sells, "symbol").where("least(b_hi, s_hi) > greatest(b_lo, s_lo)")
-    return both.select("symbol", "buy_id", "sell_id", (F.least("b_hi", "s_hi") - F.greatest("b_lo", "s_lo")).alias("quantity"), ((F.col("exit") - F.col("entry")) * (F.least("b_hi", "s_hi") - F.greatest("b_lo", "s_lo"))).alias("pnl"))
+    # the ends of all intervals in one sort: between two of them one purchase meets one sale
+    buy = F.when(F.col("quantity") > 0, F.struct(F.col("buy").alias("end"), F.col("price"), F.col("order_id").alias("id")))
+    sell = F.when((F.col("quantity") < 0) & (F.col("closed") > F.col("closed_before")), F.struct(F.col("closed").alias("end"), F.col("price"), F.col("order_id").alias("id")))
+    at = F.when(buy.isNotNull(), F.col("buy") - F.col("quantity")).otherwise(F.col("closed_before"))
+    points = rows.select("symbol", at.alias("at"), buy.alias("b"), sell.alias("s")).where("b is not null or s is not null")
+    order = Window.partitionBy("symbol").orderBy("at")
+    seen = order.rangeBetween(Window.unboundedPreceding, 0)
+    points = points.withColumns({"b": F.last("b", True).over(seen), "s": F.last("s", True).over(seen), "next": F.min("at").over(order.rangeBetween(1, Window.unboundedFollowing))})
+    points = points.groupBy("symbol", "at").agg(F.first("b").alias("b"), F.first("s").alias("s"), F.first("next").alias("next"))
+    size = F.least("b.end", "s.end", F.coalesce("next", "b.end")) - F.col("at")
+    matched = points.where("b is not null and s is not null").withColumn("quantity", size).where("quantity > 0")
+    return matched.select("symbol", F.col("b.id").alias("buy_id"), F.col("s.id").alias("sell_id"), "quantity", ((F.col("s.price") - F.col("b.price")) * F.col("quantity")).alias("pnl"))
 
 
 def trade_statistics(matches: DataFrame) -> DataFrame:

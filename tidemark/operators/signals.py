@@ -91,10 +91,15 @@ def weekly_top(bars: DataFrame, n: int = 60, top: int = 5) -> DataFrame:
     }).where("mom is not null and inv is not null")
     last = bars.groupBy(week_end("date").alias("w")).agg(F.max("date").alias("date")).select("date")
     z = zscore(rows.join(last, "date", "left_semi"), ["mom", "inv"], sigma=None)
-    z = z.withColumn("score", F.col("mom") + F.col("inv"))
+    z = z.withColumn("score", F.round(F.col("mom") + F.col("inv"), 9))  # what rounding leaves of equal sums is no order
     return z.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last("score"), "symbol"))).where(F.col("place") <= top).select("date", "symbol", "score", "place")
 
 
+def buy_and_hold(bars: DataFrame) -> DataFrame:
+    """LONG from a symbol's first bar on."""
+    return bars.where("close is not null").select("symbol", "date", F.lit("LONG").alias("signal"))
+
+
 def latest_signals(bars: DataFrame) -> DataFrame:
     """symbol, hht and qrs of each symbol's last bar; N/A where there are too few bars."""
     last = lambda rows, c, name: rows.groupBy("symbol").agg(F.coalesce(F.max_by(c, "date"), F.lit("N/A")).alias(name))

@@ -429,7 +429,7 @@ def momentum_weights(spark, sf_dir):
 
 
 @query(f"""{B}, {_LOGS}, l1 AS (SELECT symbol, date, close / nullif({lag('close', 59, OWN)}, 0) - 1 AS mom, CASE WHEN count(r) {_w59} >= 59 THEN 1 / greatest(stddev_pop(r) {_w59}, 1e-6) END AS inv FROM l0), wk AS (SELECT max(date) AS date FROM bars GROUP BY {WEEK}),
-l2 AS (SELECT l1.* FROM l1 JOIN wk USING (date) WHERE mom IS NOT NULL AND inv IS NOT NULL), {z('l2', 'l3', ['mom', 'inv'], 'date, symbol', clip=False)}, l4 AS (SELECT date, symbol, mom + inv AS score, row_number() OVER (PARTITION BY date ORDER BY mom + inv DESC NULLS LAST, symbol) AS place FROM l3)
+l2 AS (SELECT l1.* FROM l1 JOIN wk USING (date) WHERE mom IS NOT NULL AND inv IS NOT NULL), {z('l2', 'l3', ['mom', 'inv'], 'date, symbol', clip=False)}, l4 AS (SELECT date, symbol, round(mom + inv, 9) AS score, row_number() OVER (PARTITION BY date ORDER BY round(mom + inv, 9) DESC NULLS LAST, symbol) AS place FROM l3)
 SELECT date, symbol, {rd('score', 5)} AS score, CAST(place AS INTEGER) AS place FROM l4 WHERE place <= 5""")
 def weekly_top(spark, sf_dir):
     return signals.weekly_top(synthetic.daily_bars(spark, sf_dir)).select("date", "symbol", r("score", 5).alias("score"), "place")

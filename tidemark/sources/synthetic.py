@@ -25,9 +25,30 @@ def daily_bars(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFr
     day = F.col("l_shipdate").cast("date")
     rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "symbol", (F.next_day(F.date_sub(day, 1), "FRI") if weekly else day).alias("date"),
-        (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0))).alias("px"), "l_orderkey", "l_linenumber", "l_quantity",
+        (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0))).alias("px"), (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("at"), "l_quantity",
+    )
+    # lines of one place first, so that first and last go by one number and are found by hashing, without a sort
+    lines = rows.repartition("symbol", "date").groupBy("symbol", "date", "at").agg(F.min("px").alias("low"), F.max("px").alias("high"), F.sum("l_quantity").alias("volume"))
+    return lines.groupBy("symbol", "date").agg(
+        F.min_by("low", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("high", "at").alias("close"), F.sum("volume").alias("volume"),
+    )
+
+
+def minute_bars(spark: SparkSession, sf_dir: str, days: int = 120) -> DataFrame:
+    """symbol, date, ts and fields: the lines of `daily_bars` spread by a hash over the session minutes of the last `days` dates."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    lines = table(spark, sf_dir, "lineitem")
+    order = Window.orderBy(F.desc("date"))  # one row a date
+    dates = lines.select(F.col("l_shipdate").cast("date").alias("date")).distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= days)
+    spread = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "symbol", (F.pmod(spread, F.lit(days)) + 1).cast("int").alias("place"), F.pmod(F.shiftright(spread, 20), F.lit(383)).alias("minute"),
+        (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0))).alias("px"), "l_quantity", "l_orderkey",
+    ).join(dates, "place")
+    ts = F.col("date").cast("timestamp") + F.make_dt_interval(hours=F.lit(9), mins=F.lit(35) + F.col("minute").cast("int"))
+    return rows.groupBy("symbol", "date", ts.alias("ts")).agg(
+        F.min_by("px", "l_orderkey").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "l_orderkey").alias("close"), F.sum("l_quantity").alias("volume"),
     )
-    return _ohlc(rows, ["symbol", "date"], ["l_orderkey", "l_linenumber", "px"], F.sum("l_quantity"))
 
 
 def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
