@@ -113,17 +113,6 @@ def test_battle_closed_form(spark):
     assert got.vol_battle_ret == pytest.approx((np.cumsum(v) - np.cumsum(v[::-1])).sum())
 
 
-def test_regression_statistics(spark):
-    rng = np.random.default_rng(2)
-    n = 60
-    dv, ret = rng.standard_normal(n), rng.standard_normal(n)
-    mist, shade, f, t0 = factors._regress(pd.DataFrame({"ret": ret, "dv": dv}))
-    x = np.column_stack([np.ones(n - 5), *(dv[5 - j : n - j] for j in range(6))])
-    beta, rss, *_ = np.linalg.lstsq(x, ret[5:], rcond=None)
-    se = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / (n - 12))
-    assert t0 == pytest.approx(beta[0] / se[0]) and shade == abs(t0) and mist == pytest.approx(np.std((beta / se)[2:], ddof=1)) and f > 0
-
-
 def test_pairwise_mean_correlation(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((12, 5))
@@ -269,12 +258,127 @@ def test_round_trips_equal_a_queue(spark):
     assert options.trade_summary(got).first().net_pnl == pytest.approx(sum(p for _, p in truth))
 
 
-def test_walk_forward_uses_only_the_past(spark):
-    rng = np.random.default_rng(7)
-    rows = [(dt.date(2024, 1, 1) + dt.timedelta(7 * i), f"s{j}", float(x), float(2 * x + 0.01 * e)) for i in range(12) for j, (x, e) in enumerate(rng.standard_normal((25, 2)))]
-    df = spark.createDataFrame(rows, "date date, symbol string, f double, fwd double")
-    got = ml.walk_forward(df, ["f"], "ridge", last=2).toPandas()
-    assert got.date.nunique() == 2 and np.corrcoef(got.value, got.fwd)[0, 1] > 0.99
+def weeks(spark, n, k=1, seed=7):
+    rng = np.random.default_rng(seed)
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(7 * i), f"s{j:02}", *map(float, x), float(2 * x[0] + 0.01 * e)) for i in range(n) for j, (*x, e) in enumerate(rng.standard_normal((25, k + 1)))]
+    return spark.createDataFrame(rows, "date date, symbol string, " + ", ".join(f"f{i} double" for i in range(k)) + ", fwd double")
+
+
+@pytest.mark.parametrize("model, least", [("ridge", 0.99), ("forest", 0.8), ("boosting", 0.9), ("svr", 0.99), ("pca_ridge", 0.99)])
+def test_walk_forward_uses_only_the_past(spark, model, least):
+    df = weeks(spark, 12, 2)
+    got = ml.walk_forward(df, ["f0", "f1"], model, purge=1).toPandas()
+    assert sorted(got.date.unique()) == [dt.date(2024, 1, 1) + dt.timedelta(7 * i) for i in range(9, 12)] and len(got) == 75
+    assert np.corrcoef(got.value, got.fwd)[0, 1] > least
+    # what comes later changes nothing
+    from pyspark.sql import functions as F
+
+    changed = df.withColumn("fwd", F.when(F.col("date") >= "2024-03-11", -F.col("fwd")).otherwise(F.col("fwd")))
+    again = ml.walk_forward(changed, ["f0", "f1"], model, purge=1).toPandas()
+    both = got.merge(again, on=["date", "symbol"])
+    assert np.allclose(both.value_x, both.value_y) and (both.fwd_x != both.fwd_y).any()
+
+
+def test_ridge_equals_normal_equations(spark):
+    df = weeks(spark, 11, 3)
+    pdf = df.toPandas().sort_values(["date", "symbol"])
+    names = ["f0", "f1", "f2"]
+    got = ml.walk_forward(df, names, "ridge").toPandas().set_index(["date", "symbol"]).value
+    for day in sorted(pdf.date.unique())[8:]:
+        train, test = pdf[pdf.date < day], pdf[pdf.date == day]
+        mean, spread = train[names].mean(), train[names].std(ddof=0)
+        z = ((train[names] - mean) / spread).to_numpy()
+        b = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (train.fwd - train.fwd.mean()))
+        for r in test.itertuples():
+            assert got[day, r.symbol] == pytest.approx(train.fwd.mean() + ((np.array([r.f0, r.f1, r.f2]) - mean) / spread).to_numpy() @ b)
+
+
+def test_spearman_of_columns_with_gaps():
+    rng = np.random.default_rng(0)
+    x = np.round(rng.standard_normal((20, 9)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 8] = 1.0
+    total = np.ones(9)
+    total[8] = 0
+    for i in range(9):
+        for j in range(9):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = pd.Series(x[ok, i]).rank(), pd.Series(x[ok, j]).rank()
+            if i != j and a.std() > 0 and b.std() > 0:
+                total[i] += abs(np.corrcoef(a, b)[0, 1])
+    assert np.allclose(factors.mean_abs_spearman(x, block=4), (total - 1) / 8)
+
+
+def test_regression_equals_least_squares(spark):
+    rng = np.random.default_rng(5)
+    n = 60
+    rows = [(dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 10) + dt.timedelta(minutes=i), s, i, n, 100 + float(rng.standard_normal()), float(rng.integers(1, 1000))) for s in "ab" for i in range(n)]
+    grid = spark.createDataFrame(rows, "date date, ts timestamp, symbol string, i int, n_day int, close double, volume double")
+    got = {r.symbol: r for r in factors.regression_daily(grid).collect()}
+    for s in "ab":
+        close, volume = (np.array([r[k] for r in rows if r[2] == s]) for k in (5, 6))
+        y, v = close[1:] / close[:-1] - 1, np.diff(volume)
+        x = np.column_stack([np.ones(len(y) - 5), *(v[5 - k : len(v) - k] for k in range(6))])
+        b, rss, *_ = np.linalg.lstsq(x, y[5:], rcond=None)
+        t = b / np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * rss[0] / (len(x) - 7))
+        assert (got[s].t0, got[s].mist) == pytest.approx((t[0], t[2:].std(ddof=1)))
+
+
+def test_feed(spark):
+    rows = [(dt.datetime(2024, 1, 2, 10, m), s, float(m)) for m in (3, 1, 2) for s in ("b", "a", "c")]
+    feed, seen = bar_sources.HistoricFeed(spark.createDataFrame(rows, "ts timestamp, symbol string, close double")), []
+    feed.subscribe(["a", "b"], seen.append)
+    while feed.has_next():
+        feed.next()
+    assert [[(r.symbol, r.close) for r in x] for x in seen] == [[("a", m), ("b", m)] for m in (1.0, 2.0, 3.0)]
+    with pytest.raises(StopIteration):
+        feed.next()
+    feed.reset()
+    assert feed.next()[0].close == 1.0
+
+
+def test_files_of_symbols_and_chains(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for s in ("AAA", "BBB"):
+        pq.write_table(pa.table({"fiscal_year": [2024], "end_date": ["2024-03-31"]} | ({"assets": [1.0]} if s == "AAA" else {})), tmp_path / f"{s}_fundamentals.parquet")
+    got = sorted((r.symbol, str(r.end_date), r.assets) for r in tables.read_statements(spark, str(tmp_path)).collect())
+    assert got == [("AAA", "2024-03-31", 1.0), ("BBB", "2024-03-31", None)] and tables.read_statements(spark, str(tmp_path), ["bbb"]).count() == 1
+    for kind in ("calls", "puts"):
+        (tmp_path / f"spx_2024-06-21_{kind}.csv").write_text("strike,as_of\n100,2024-05-22\n")
+    chain = tables.read_chains(spark, str(tmp_path)).collect()
+    assert {(r.symbol, r.type, r.strike) for r in chain} == {("SPX", "call", 100), ("SPX", "put", 100)} and chain[0].years == pytest.approx(30 / 365)
+    table = spark.range(100)
+    assert sorted(tables.sample(table, 7).collect()) == sorted(tables.sample(table.repartition(5), 7).collect()) and tables.sample(table, 7, 1).collect() != tables.sample(table, 7).collect()
+
+
+def test_sessions_are_local_whatever_the_zone(spark):
+    times = [(dt.datetime(2024, 1, 3, 14, 35), 1), (dt.datetime(2024, 7, 3, 13, 35), 1), (dt.datetime(2024, 7, 3, 13, 34), 0), (dt.datetime(2024, 1, 3, 20, 58), 0)]
+    from pyspark.sql import functions as F
+
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            rows = spark.createDataFrame([(int(t.replace(tzinfo=dt.timezone.utc).timestamp()), k) for t, k in times], "s long, ok int").withColumn("ts", F.timestamp_seconds("s"))
+            assert sorted(r.ok for r in bar_sources.session_only(rows).collect()) == [1, 1]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_strategies_are_compared(spark):
+    days = [(dt.date(2023, 1, 1) + dt.timedelta(i), s, *[100 * (1 + k / 1000) ** i] * 4, 1.0) for i in range(300) for k, s in ((1, "up"), (-1, "down"))]
+    df = spark.createDataFrame(days, "date date, symbol string, open double, high double, low double, close double, volume double")
+    got = {(r.strategy, r.symbol): r for r in backtest.compare(df, cost_rate=0.0).collect()}
+    assert len(got) == 10 and got["buy_and_hold", "up"].total_return == pytest.approx(1.001**298 - 1) and got["sma_cross", "down"].total_return == 0
+    assert got["buy_and_hold", "up"].fills == 1 and got["buy_and_hold", "down"].max_drawdown == pytest.approx(0.999**298 - 1)
+
+
+def test_legacy_log(spark):
+    log = spark.createDataFrame([(1, "OPEN", None, None, "e", None, None, None, None, None), (2, "CLOSE", None, None, "e", None, None, None, None, 50.0), (3, "CLOSE", None, None, "e", None, None, None, None, -20.0)],
+                                "seq long, event string, order_id long, action string, expiry string, reason string, fill_price double, qty long, commission double, pnl double")
+    one = options.trade_summary(options.all_trips(log)).first()
+    assert (one.total_trades, one.net_pnl, one.win_rate, one.max_drawdown) == (2, 30.0, 0.5, 20.0)
 
 
 def test_tables(spark, tmp_path):

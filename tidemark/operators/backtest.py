@@ -6,6 +6,7 @@ Strategies whose size depends on the portfolio's own value run in `simulate`, on
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -146,6 +147,35 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], dict[str, float] | None
     return rows.select(F.col(run).cast("string").alias("run_id"), "date", "symbol", "close").groupBy("run_id").applyInPandas(one, "run_id string, date date, cash double, holdings double, total double")
 
 
+def compare(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]] | None = None, capital: float = 100_000.0, cost_rate: float = 0.001) -> DataFrame:
+    """Every strategy on every symbol alone: strategy, symbol, total_return, max_drawdown, volatility and fills, in one plan.
+
+    strategies: from bars to signals (symbol, date, signal). All the capital is in the symbol or in cash; a change of the signal is filled
+    at the next close, at a cost of the traded value.
+    """
+    from tidemark.operators import signals
+
+    strategies = strategies or {
+        "buy_and_hold": signals.buy_and_hold, "sma_cross": signals.sma_level, "rsi": signals.rsi_simple, "hht": signals.hht,
+        "qrs": lambda b: signals.qrs(b).withColumnRenamed("level", "signal"),
+    }
+    parts = [f(bars).select(F.lit(n).alias("strategy"), "symbol", "date", "signal") for n, f in strategies.items()]
+    rows = reduce(DataFrame.unionByName, parts).join(bars.select("symbol", "date", "close"), ["symbol", "date"])
+    w = Window.partitionBy("strategy", "symbol").orderBy("date")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    target = F.when(F.col("signal").isin("LONG", "BUY"), 1).when(F.col("signal").isin("OUT", "FLAT", "SELL"), 0)
+    rows = rows.withColumn("target", F.coalesce(F.last(target, True).over(run), F.lit(0)))
+    # held from the close after the signal on: its return is the next one's
+    rows = rows.withColumns({"held": F.coalesce(F.lag("target", 2).over(w), F.lit(0)), "now": F.coalesce(F.lag("target", 1).over(w), F.lit(0)), "r": F.coalesce(div("close", F.lag("close").over(w)) - 1, F.lit(0.0))})
+    rows = rows.withColumn("gain", F.col("held") * F.col("r") - F.abs(F.col("now") - F.col("held")) * cost_rate)
+    rows = rows.withColumn("wealth", F.exp(F.sum(F.log(F.greatest(1 + F.col("gain"), F.lit(1e-12)))).over(run)))
+    rows = rows.withColumn("down", F.col("wealth") / F.greatest(F.max("wealth").over(run), F.lit(1.0)) - 1)
+    return rows.groupBy("strategy", "symbol").agg(
+        (F.max_by("wealth", "date") - 1).alias("total_return"), F.min("down").alias("max_drawdown"), (F.stddev_samp("gain") * 252**0.5).alias("volatility"),
+        F.sum(F.abs(F.col("now") - F.col("held"))).alias("fills"), (F.lit(capital) * F.max_by("wealth", "date")).alias("final_value"),
+    )
+
+
 def weekly_orders(weights: DataFrame, lots_value: float = 10_000.0) -> DataFrame:
     """Orders of a fixed amount of money for weights by (date, symbol, price), no feedback from the portfolio."""
     return weights.select(F.concat_ws("-", "symbol", "date").alias("order_id"), "symbol", "date", F.floor(F.lit(lots_value) * F.col("weight") / F.nullif("price", F.lit(0))).cast("long").alias("quantity"), week_end("date").alias("week"))

@@ -296,39 +296,48 @@ def jump(grid: DataFrame, daily: DataFrame, min_bars: int = 20) -> DataFrame:
 LAGS = 6
 
 
-def _regress(pdf: pd.DataFrame) -> tuple | None:
-    """t statistics and F of return on a constant and volume change at lags 0 to 5, from dense minutes 1 on."""
-    y, x = pdf["ret"].to_numpy(float), pdf["dv"].to_numpy(float)
-    n = len(y)
-    if n < 12:
-        return None
-    design = np.column_stack([np.ones(n - 5), *(x[5 - k : n - k] for k in range(LAGS))])
-    target = y[5:]
-    ok = ~np.isnan(target) & ~np.isnan(design).any(1)
-    rows, k = int(ok.sum()), LAGS + 1
-    if rows <= k + 2:
-        return None
-    design, target = design[ok], target[ok]
-    try:
-        inverse = np.linalg.inv(design.T @ design)
-    except np.linalg.LinAlgError:
-        return None
-    beta = inverse @ (design.T @ target)
-    rss = float(((target - design @ beta) ** 2).sum())
-    t = beta / np.sqrt(np.maximum(np.diag(inverse) * rss / (rows - k), 1e-30))
-    tss = float(((target - target.mean()) ** 2).sum())
-    return float(np.std(t[2:], ddof=1)), float(abs(t[0])), max((tss - rss) / 6 / max(rss / (rows - k), 1e-30), 0.0), float(t[0])
-
-
 def regression_daily(grid: DataFrame, min_bars: int = 30) -> DataFrame:
-    w = _minutes()
-    rows = grid.where(F.col("n_day") >= min_bars).withColumns({"ret": div("close", F.lag("close").over(w)) - 1, "dv": F.col("volume") - F.lag("volume").over(w)}).where("i >= 1")
+    """t statistics and F of return on a constant and volume change at lags 0 to 5, from dense minutes 1 on.
 
-    def run(key, pdf):
-        found = _regress(pdf.sort_values("i"))
-        return pd.DataFrame([(*key, *found)] if found else [], columns=["date", "symbol", "mist", "shade", "f", "t0"])
-
-    return rows.select(*DAY, "i", "ret", "dv").groupBy(*DAY).applyInPandas(run, "date date, symbol string, mist double, shade double, f double, t0 double")
+    The moments are sums of a row a minute; the small systems of all days and symbols are solved together.
+    """
+    w, k = _minutes(), LAGS + 1
+    change = F.col("volume") - F.lag("volume").over(w)
+    rows = grid.where(F.col("n_day") >= min_bars).select(*DAY, "i", (div("close", F.lag("close").over(w)) - 1).alias("y"), change.alias("x0")).where("i >= 1")
+    rows = rows.withColumns({f"x{n}": F.lag("x0", n).over(w) for n in range(1, LAGS)}).withColumn("minutes", F.count("*").over(Window.partitionBy(*DAY)))
+    names = [f"x{n}" for n in range(LAGS)] + ["y"]
+    rows = rows.where(F.col("minutes") >= 12).dropna(subset=names)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    sums = rows.groupBy(*DAY).agg(F.array(F.count("*").cast("double"), *(F.sum(c) for c in names), *(F.sum(F.col(names[a]) * F.col(names[b])) for a, b in pairs)).alias("m")).where(F.col("m")[0] > k + 2)
+
+    def solve(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            m = np.stack(pdf["m"].to_numpy())
+            n, mean = m[:, 0], m[:, 1 : k + 1] / m[:, :1]
+            inner = np.zeros((len(m), k, k))
+            for (a, b), column in zip(pairs, m[:, k + 1 :].T):
+                inner[:, a, b] = inner[:, b, a] = column
+            inner -= n[:, None, None] * mean[:, :, None] * mean[:, None, :]  # about the means, so that the constant drops out
+            size = np.sqrt(np.maximum(inner[:, range(LAGS), range(LAGS)], 0))
+            ok = (size > 0).all(1)
+            size = np.where(size > 0, size, 1.0)
+            gram = inner[:, :LAGS, :LAGS] / size[:, :, None] / size[:, None, :]
+            ok &= np.linalg.cond(np.where(ok[:, None, None], gram, np.eye(LAGS))) < 1e12
+            inverse = np.linalg.inv(np.where(ok[:, None, None], gram, np.eye(LAGS))) / size[:, :, None] / size[:, None, :]
+            slope = (inverse @ inner[:, :LAGS, LAGS, None])[:, :, 0]
+            tss = inner[:, LAGS, LAGS]
+            rss = np.maximum(tss - (slope * inner[:, :LAGS, LAGS]).sum(1), 0)
+            s2 = rss / (n - k)
+            t = slope / np.sqrt(np.maximum(inverse[:, range(LAGS), range(LAGS)] * s2[:, None], 1e-30))
+            x = mean[:, :LAGS]
+            spread = (1 / n + (x[:, None, :] @ inverse @ x[:, :, None])[:, 0, 0]) * s2
+            t0 = (mean[:, LAGS] - (slope * x).sum(1)) / np.sqrt(np.maximum(spread, 1e-30))
+            f = np.maximum((tss - rss) / 6 / np.maximum(s2, 1e-30), 0)
+            yield pd.DataFrame({"date": pdf["date"], "symbol": pdf["symbol"], "mist": t[:, 1:].std(1, ddof=1), "shade": np.abs(t0), "f": f, "t0": t0})[ok]
+
+    return sums.mapInPandas(solve, "date date, symbol string, mist double, shade double, f double, t0 double")
 
 
 def pairwise_mean_corr(panel: DataFrame, value: str, window: int, min_obs: int, min_symbols: int, spearman: bool = False, keep_nan: bool = False) -> DataFrame:
@@ -347,9 +356,8 @@ def pairwise_mean_corr(panel: DataFrame, value: str, window: int, min_obs: int,
         if n < min_symbols:
             return pd.DataFrame([], columns=["at", "symbol", "value"])
         if spearman:
-            found = _spearman(wide) if wide.isna().any().any() else wide.rank().corr()
-        else:
-            found = wide.corr()
+            return pd.DataFrame({"at": key[0], "symbol": wide.columns, "value": mean_abs_spearman(wide.to_numpy(float))})
+        found = wide.corr()
         found = found if keep_nan else found.fillna(0)
         return pd.DataFrame({"at": key[0], "symbol": wide.columns, "value": ((found.abs().sum() - 1) / (n - 1)).to_numpy()})
 
@@ -357,19 +365,28 @@ def pairwise_mean_corr(panel: DataFrame, value: str, window: int, min_obs: int,
     return found.join(dates, "at").select(F.col("day").alias("date"), "symbol", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
-def _spearman(wide: pd.DataFrame) -> pd.DataFrame:
-    """Rank correlation of each pair over the rows that both have."""
-    names = wide.columns
-    out = np.full((len(names), len(names)), np.nan)
-    x = wide.to_numpy(float)
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
-            if ok.sum() > 1:
-                a, b = pd.Series(x[ok, i]).rank().to_numpy(), pd.Series(x[ok, j]).rank().to_numpy()
-                if a.std() > 0 and b.std() > 0:
-                    out[i, j] = out[j, i] = np.corrcoef(a, b)[0, 1]
-    return pd.DataFrame(out, names, names)
+def mean_abs_spearman(x: np.ndarray, block: int = 64) -> np.ndarray:
+    """Of each column the mean absolute rank correlation with all others, of each pair over the rows that both have; the diagonal counts as one.
+
+    Ranks within the rows of a pair are sums of signs of differences, so that a block of columns is two matrix products.
+    """
+    there = ~np.isnan(x)
+    m, n = x.shape
+    filled = np.where(there, x, 0.0)
+    signs = np.sign(filled[:, None, :] - filled[None, :, :]) * (there[:, None, :] & there[None, :, :])  # row, row, column
+    mask = there.astype(float)
+    total = np.zeros(n)
+    for a in range(0, n, block):
+        own = slice(a, min(a + block, n))
+        width = own.stop - a
+        mine = (signs.transpose(2, 0, 1).reshape(n * m, m) @ mask[:, own]).reshape(n, m, width) * mask[None, :, own]  # rank of n among rows that block has
+        theirs = (signs[:, :, own].transpose(2, 0, 1).reshape(width * m, m) @ mask).reshape(width, m, n).transpose(2, 1, 0) * mask.T[:, :, None]
+        both = (mine * theirs).sum(1)
+        scale = (mine**2).sum(1) * (theirs**2).sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.abs(np.where(scale > 0, both / np.sqrt(scale), np.nan))
+        total += np.nansum(r, 1)
+    return (total - 1) / (n - 1)
 
 
 def regression(grid: DataFrame, min_bars: int = 30, min_symbols: int = 20) -> DataFrame:

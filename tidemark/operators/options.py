@@ -127,8 +127,9 @@ def entry_allowed(market: DataFrame, vix_low: float = 12, vix_high: float = 30,
     return market.withColumn("enter", F.coalesce(ok, F.lit(False)))
 
 
-def strike_grid(spots: DataFrame, width: float = 0.05, step: int = 5) -> DataFrame:
-    """symbol and strikes in steps within +-width of the spot."""
+def strike_grid(spots: DataFrame, width: float = 0.05, step: int = 5, coarse: int | None = None) -> DataFrame:
+    """symbol and strikes in steps within +-width of the spot; with `coarse` (say 25) only its multiples."""
+    step = coarse or step
     low, high = (F.floor(F.col("spot") * (1 - width) / step) * step).cast("int"), (F.ceil(F.col("spot") * (1 + width) / step) * step).cast("int")
     return spots.select("symbol", "spot", F.explode(F.sequence(low, high, F.lit(step))).alias("strike"))
 
@@ -194,6 +195,18 @@ def round_trips(log: DataFrame) -> DataFrame:
     return both.select("expiry", "k", "reason", "credit", "debit", F.least("q1", "q2").alias("qty"), gross.alias("gross_pnl"), (F.col("c1") + F.col("c2")).alias("commission"), (gross - F.col("c1") - F.col("c2")).alias("net_pnl"))
 
 
+def legacy_trips(log: DataFrame) -> DataFrame:
+    """Closed trades of logs of the older form, whose CLOSE rows carry their result: expiry, k (their order) and net_pnl. log: seq, event, expiry, pnl."""
+    place = F.row_number().over(Window.partitionBy("expiry").orderBy("seq"))
+    return log.where("event = 'CLOSE' and pnl is not null").select("expiry", place.alias("k"), F.col("pnl").alias("net_pnl"))
+
+
+def all_trips(log: DataFrame) -> DataFrame:
+    """Closed trades of a log in either form, or both one after the other."""
+    new = round_trips(log).select("expiry", "k", "net_pnl")
+    return new.unionByName(legacy_trips(log).withColumn("k", F.col("k") + 1_000_000)) if "pnl" in log.columns else new
+
+
 def trade_summary(trips: DataFrame, tail: float = -500.0) -> DataFrame:
     """One row: trades, net result, win rate, averages, largest loss from a peak, and how many losses are below `tail`."""
     w = Window.orderBy("expiry", "k").rowsBetween(Window.unboundedPreceding, 0)  # one row a closed trade

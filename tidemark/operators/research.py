@@ -62,17 +62,46 @@ def ic_summary(ics: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
+def rolling_ic(ics: DataFrame, n: int = 12) -> DataFrame:
+    """The coefficients with the mean of the last n of each factor, NULL before there are n: what the reports plot."""
+    w = Window.partitionBy("factor").orderBy("date").rowsBetween(1 - n, 0)
+    return ics.withColumn("rolling_ic", F.when(F.count("ic").over(w) >= n, F.avg("ic").over(w)))
+
+
 def ic_filter(summary: DataFrame, threshold: float = 0.005) -> DataFrame:
     return summary.where(F.abs("ic_mean") >= threshold)
 
 
 def factor_correlations(wide: DataFrame, names: list[str]) -> DataFrame:
-    """a, b, corr over the rows on which all factors are present; all pairs in one aggregation."""
-    rows = wide.dropna(subset=names)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = rows.agg(*(corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs))))
-    return one.select(cells.alias("x")).select("x.*")
+    """a, b, corr over the rows on which all factors are present; NULL where either is constant.
+
+    Every Arrow batch gives one row of moments, about the first row's values, which one task adds up.
+    """
+    k = len(names)
+
+    def moments(frames):
+        for pdf in frames:
+            if len(pdf):
+                x = pdf.to_numpy(float)
+                z = np.column_stack([np.ones(len(x)), x - x[0]])
+                yield pd.DataFrame({"first": [x[0]], "m": [(z.T @ z).ravel()]})
+
+    def combine(frames):
+        n, mean, second = 0.0, np.zeros(k), np.zeros((k, k))
+        for pdf in frames:
+            for first, m in zip(pdf["first"], pdf["m"]):
+                m = np.asarray(m).reshape(k + 1, k + 1)
+                size, off = m[0, 0], m[0, 1:] / m[0, 0]
+                inner, delta = m[1:, 1:] - size * np.outer(off, off), np.asarray(first) + off - mean
+                second += inner + np.outer(delta, delta) * n * size / (n + size)
+                mean, n = mean + delta * size / (n + size), n + size
+        spread = np.sqrt(np.diag(second))
+        rows = [(a, b, second[i, j] / (spread[i] * spread[j]) if spread[i] * spread[j] > 0 else None) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+        yield pd.DataFrame(rows, columns=["a", "b", "corr"]).astype({"corr": float})
+
+    parts = wide.dropna(subset=names).select(*(F.col(n).cast("double") for n in names)).mapInPandas(moments, "first array<double>, m array<double>")
+    found = parts.repartition(1).mapInPandas(combine, "a string, b string, corr double")
+    return found.select("a", "b", F.nanvl("corr", F.lit(None).cast("double")).alias("corr"))
 
 
 def correlation_dedup(order: list[str], icir: dict[str, float], correlations: dict[tuple[str, str], float], threshold: float = 0.7) -> list[str]:
@@ -109,7 +138,7 @@ def best_per_group(summary: DataFrame, groups: DataFrame) -> DataFrame:
 def weighted_composite(factors: DataFrame, weights: dict[str, float], share: float = 0.5) -> DataFrame:
     """Weighted mean of z-scores over the factors present; NULL with fewer than int(share * number)."""
     spark = factors.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(weights.items()), "factor string, weight double"))  # a row a factor
+    table = spark.createDataFrame(pd.DataFrame(list(weights.items()), columns=["factor", "weight"]))  # a row a factor
     z = zscore(factors.join(table, "factor").withColumn("__by", F.struct("factor", "date")), ["value"], by="__by")
     least = int(len(weights) * share)
     return z.groupBy(*KEYS).agg(F.when(F.count("value") >= max(least, 1), div(F.sum(F.col("value") * F.col("weight")), F.sum(F.when(F.col("value").isNotNull(), F.abs("weight"))))).alias("value"))
@@ -187,14 +216,26 @@ def orthogonalize_one(rows: DataFrame, new: str, existing: str, least: int = 10)
 
 
 def orthogonalize_sequence(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Each factor made orthogonal to those before it; the lineage is cut after each."""
-    done: list[str] = []
-    for name in names:
-        if done:
-            rows = rows.drop(name).join(orthogonalize(rows, name, done).withColumnRenamed("value", name), KEYS)
-            rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-        done.append(name)
-    return rows.select(*KEYS, *names)
+    """Each factor made orthogonal to those before it, on the rows of a date that have all of them so far: one task a date for all factors.
+
+    A factor keeps its values on dates with fewer than max(10, k + 2) such rows.
+    """
+
+    def run(pdf):
+        out = pdf.copy()
+        for i in range(1, len(names)):
+            x, y = out[names[:i]].to_numpy(float), out[names[i]].to_numpy(float)
+            ok = ~np.isnan(y) & ~np.isnan(x).any(1)
+            if ok.sum() >= max(10, i + 2):
+                design = np.column_stack([np.ones(int(ok.sum())), x[ok]])
+                rest = np.full(len(y), np.nan)
+                rest[ok] = y[ok] - design @ np.linalg.lstsq(design, y[ok], rcond=None)[0]
+                out[names[i]] = rest
+        return out
+
+    schema = "date date, symbol string, " + ", ".join(f"`{n}` double" for n in names)
+    found = rows.select(*KEYS, *names).groupBy("date").applyInPandas(run, schema)
+    return found.select(*KEYS, *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
 
 
 def prepare_weekly(factors: DataFrame, grid: DataFrame, least: int = 5) -> DataFrame:
@@ -222,7 +263,7 @@ def evaluate_predictions(rows: DataFrame, n: int = 5, top: int = 30, least: int
 def normalized_scores(factors: DataFrame, directions: dict[str, float], method: str = "zscore", least: int = 30) -> DataFrame:
     """Mean directed score of names that have all factors: z-scores clipped at 3 MADs, or min-max within the date."""
     spark = factors.sparkSession
-    signs = F.broadcast(spark.createDataFrame(list(directions.items()), "factor string, sign double"))  # a row a factor
+    signs = spark.createDataFrame(pd.DataFrame(list(directions.items()), columns=["factor", "sign"]))  # a row a factor
     rows = factors.where("value is not null").join(signs, "factor")
     whole = rows.groupBy(*KEYS).agg(F.count("*").alias("k")).where(F.col("k") == len(directions)).withColumn("n", F.count("*").over(Window.partitionBy("date"))).where(F.col("n") >= least)
     rows = rows.join(whole.select(*KEYS), KEYS)
@@ -237,7 +278,7 @@ def normalized_scores(factors: DataFrame, directions: dict[str, float], method:
 def pick(factors: DataFrame, bars: DataFrame, directions: dict[str, float], top: int = 10, min_volume: float = 5e6, missing_as_zero: bool = True) -> DataFrame:
     """The best liquid names of the last date: directed z-scores averaged, a missing one counting 0 or not at all."""
     spark = factors.sparkSession
-    signs = F.broadcast(spark.createDataFrame(list(directions.items()), "factor string, sign double"))  # a row a factor
+    signs = spark.createDataFrame(pd.DataFrame(list(directions.items()), columns=["factor", "sign"]))  # a row a factor
     last = factors.join(factors.agg(F.max("date").alias("date")), "date", "left_semi").join(signs, "factor")
     z = zscore(last.withColumn("__by", F.struct("factor", "date")), ["value"], by="__by")
     total = F.sum(F.coalesce(F.col("value") * F.col("sign"), F.lit(0.0)))

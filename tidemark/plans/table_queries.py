@@ -208,7 +208,16 @@ def factor_correlations(spark, sf_dir):
     return research.factor_correlations(wide, ["mom", "range", "rev"]).select("a", "b", r("corr").alias("corr"))
 
 
-@query()
+_SCREEN = f"""{SUMMARY}, pass_ AS (SELECT factor, icir, row_number() OVER (ORDER BY icir DESC NULLS LAST, factor) AS i FROM summary WHERE abs(ic_mean) >= 0.005), wd AS (SELECT date, symbol, max(value) FILTER (WHERE factor = 'mom') AS mom, max(value) FILTER (WHERE factor = 'range') AS range, max(value) FILTER (WHERE factor = 'rev') AS rev FROM reb GROUP BY date, symbol),
+wc AS (SELECT * FROM wd WHERE (mom IS NOT NULL OR NOT EXISTS (SELECT 1 FROM pass_ WHERE factor = 'mom')) AND (range IS NOT NULL OR NOT EXISTS (SELECT 1 FROM pass_ WHERE factor = 'range')) AND (rev IS NOT NULL OR NOT EXISTS (SELECT 1 FROM pass_ WHERE factor = 'rev'))),
+co AS (SELECT 'mom' AS a, 'range' AS b, abs(corr(mom, range)) > 0.7 AS close FROM wc UNION ALL SELECT 'mom', 'rev', abs(corr(mom, rev)) > 0.7 FROM wc UNION ALL SELECT 'range', 'rev', abs(corr(range, rev)) > 0.7 FROM wc),
+near_ AS (SELECT a, b, close FROM co UNION ALL SELECT b, a, close FROM co), pr AS (SELECT p.i, q.i AS j, coalesce(n.close, false) AS close, abs(p.icir) >= abs(q.icir) AS first_stays FROM pass_ p JOIN pass_ q ON p.i < q.i JOIN near_ n ON n.a = p.factor AND n.b = q.factor),
+g1 AS (SELECT CASE WHEN close THEN CASE WHEN first_stays THEN 2 ELSE 1 END END AS gone FROM pr WHERE i = 1 AND j = 2), g2 AS (SELECT CASE WHEN close THEN CASE WHEN first_stays THEN 3 ELSE 1 END END AS gone FROM pr WHERE i = 1 AND j = 3),
+g3 AS (SELECT CASE WHEN close AND 2 NOT IN (SELECT gone FROM g1 WHERE gone IS NOT NULL) AND 3 NOT IN (SELECT gone FROM g2 WHERE gone IS NOT NULL) THEN CASE WHEN first_stays THEN 3 ELSE 2 END END AS gone FROM pr WHERE i = 2 AND j = 3),
+lost AS (SELECT gone FROM g1 UNION ALL SELECT gone FROM g2 UNION ALL SELECT gone FROM g3)"""
+
+
+@query(f"{_SCREEN} SELECT factor FROM pass_ WHERE i NOT IN (SELECT gone FROM lost WHERE gone IS NOT NULL)")
 def screen_factors(spark, sf_dir):
     grid, rows = factor_rows(spark, sf_dir)
     names, _ = research.screen(research.rebalance(rows, grid, "W").drop("fwd"), research.next_day_returns(grid, 5).drop("t"), ["mom", "range", "rev"], least=10)
@@ -271,10 +280,22 @@ def orthogonalize_one(spark, sf_dir):
     return research.orthogonalize_one(wide, "mom", "range").select("date", "symbol", r("value").alias("value"))
 
 
-@query()
+_two = "CASE WHEN mom IS NOT NULL AND range IS NOT NULL AND rev IS NOT NULL THEN {} END"
+
+
+@query(f"""{W}, o AS (SELECT date, symbol, rev, {_two.format('rev')} AS y, {_two.format('mom')} AS x1, {_two.format('range')} AS x2 FROM (SELECT date, symbol, max(value) FILTER (WHERE factor = 'mom') AS mom, max(value) FILTER (WHERE factor = 'range') AS range, max(value) FILTER (WHERE factor = 'rev') AS rev FROM factors GROUP BY date, symbol)),
+p AS (SELECT *, count(y) OVER d AS n, y - avg(y) OVER d AS yc, x1 - avg(x1) OVER d AS u, x2 - avg(x2) OVER d AS v, covar_pop(x1, x1) OVER d AS c11, covar_pop(x2, x2) OVER d AS c22, covar_pop(x1, x2) OVER d AS c12, covar_pop(x1, y) OVER d AS c1y, covar_pop(x2, y) OVER d AS c2y FROM o WINDOW d AS (PARTITION BY date))
+SELECT date, symbol, {rd('CASE WHEN n >= 10 THEN yc - (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) * u - (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) * v ELSE rev END')} AS value FROM p""")
 def orthogonalize_many(spark, sf_dir):
     _, rows = factor_rows(spark, sf_dir)
-    return research.orthogonalize(rows.groupBy("date", "symbol").pivot("factor", ["mom", "range", "rev"]).agg(F.first("value")), "rev", ["mom", "range"])
+    found = research.orthogonalize(rows.groupBy("date", "symbol").pivot("factor", ["mom", "range", "rev"]).agg(F.first("value")), "rev", ["mom", "range"])
+    return found.withColumn("value", r("value"))
+
+
+@query()
+def orthogonalize_sequence(spark, sf_dir):
+    _, rows = factor_rows(spark, sf_dir)
+    return research.orthogonalize_sequence(research.rebalance(rows, grid_of(spark, sf_dir), "M").groupBy("date", "symbol").pivot("factor", NAMES3).agg(F.first("value")), NAMES3)
 
 
 @query(f"""{W}, wk AS (SELECT factor, symbol, {WEEK} AS week, last(value ORDER BY date) AS value FROM factors GROUP BY ALL), cl AS (SELECT symbol, {WEEK} AS week, last(close ORDER BY date) AS close FROM fgrid WHERE close IS NOT NULL GROUP BY ALL),
@@ -317,37 +338,104 @@ def pick_stocks(spark, sf_dir):
 
 # learning
 
+NAMES3 = ["mom", "range", "rev"]
+
 
 def _panel(spark, sf_dir):
     grid, rows = factor_rows(spark, sf_dir)
-    rows = research.rebalance(rows, grid, "Q")
-    return ml.panel(rows.drop("fwd"), rows.select("date", "symbol", "fwd").distinct(), ["mom", "range", "rev"])
+    rows = research.rebalance(rows, grid, "W")
+    return ml.panel(rows.drop("fwd"), rows.select("date", "symbol", "fwd").distinct(), NAMES3)
 
 
-def _kept_panel(spark, sf_dir):
-    """Without lineage where a folder is set: it would be in the plan of every date's fit and prediction."""
-    rows = _panel(spark, sf_dir)
-    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.cache()
+PANEL = f"""{REB}, p0 AS (SELECT date, symbol, {', '.join(f"max(value) FILTER (WHERE factor = '{c}') AS {c}" for c in NAMES3)} FROM reb GROUP BY date, symbol),
+p1 AS (SELECT *, {', '.join(f'{c} AS raw_{c}' for c in NAMES3)} FROM p0), {z('p1', 'p2', NAMES3, 'date, symbol, raw_mom, raw_range, raw_rev')},
+p3 AS (SELECT date, symbol, {', '.join(f'mad({c}) OVER (PARTITION BY date) AS mad_{c}' for c in NAMES3)} FROM p0),
+mlp AS (SELECT date, symbol, {', '.join(f'coalesce(CASE WHEN mad_{c} = 0 THEN raw_{c} ELSE {c} END, 0.0) AS {c}' for c in NAMES3)}, fwd FROM p2 JOIN p3 USING (date, symbol) JOIN (SELECT DISTINCT date, symbol, fwd FROM reb WHERE fwd IS NOT NULL) USING (date, symbol))"""
 
 
-@query()
+@query(f"{PANEL} SELECT date, symbol, {', '.join(f'{rd(c, 5)} AS {c}' for c in NAMES3)}, {rd('fwd')} AS fwd FROM mlp")
 def ml_panel(spark, sf_dir):
-    return _panel(spark, sf_dir)
+    return _panel(spark, sf_dir).select("date", "symbol", *(r(c, 5).alias(c) for c in NAMES3), r("fwd").alias("fwd"))
+
+
+# normal equations of three scaled features by Cramer's rule
+_pairs = [(a, b) for a in range(4) for b in range(a, 4)]
+_x = [*NAMES3, "fwd"]
+_c = lambda a, b: f"(q{min(a, b)}{max(a, b)} - s{a} * s{b} / n)"
+_g = lambda a, b: f"({_c(a, b)} / d{a} / d{b}" + (" + 1)" if a == b else ")")
+_det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+_gram = [[_g(a, b) for b in range(3)] for a in range(3)]
+_with = lambda k: [[f"({_c(a, 3)} / d{a})" if b == k else _gram[a][b] for b in range(3)] for a in range(3)]
+RIDGE = f"""{PANEL}, r0 AS (SELECT date, count(*) AS size, {', '.join(f'sum({c}) AS s{i}' for i, c in enumerate(_x))}, {', '.join(f'sum({_x[a]} * {_x[b]}) AS q{a}{b}' for a, b in _pairs)} FROM mlp GROUP BY date),
+r1 AS (SELECT date, size, row_number() OVER (ORDER BY date) - 1 AS t, sum(size) OVER w AS n, {', '.join(f'sum(s{i}) OVER w AS s{i}' for i in range(4))}, {', '.join(f'sum(q{a}{b}) OVER w AS q{a}{b}' for a, b in _pairs)}
+ FROM r0 WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r2 AS (SELECT *, {', '.join(f'CASE WHEN {_c(i, i)} / n > 1e-24 THEN sqrt(greatest({_c(i, i)}, 0) / n) ELSE 1.0 END AS d{i}' for i in range(3))} FROM r1 WHERE n >= 100 AND t >= 8 AND size >= 20),
+r3 AS (SELECT *, {', '.join(f'{_det(_with(k))} / {_det(_gram)} / d{k} AS b{k}' for k in range(3))} FROM r2),
+r4 AS (SELECT *, s3 / n - b0 * s0 / n - b1 * s1 / n - b2 * s2 / n AS a FROM r3)"""
+
+
+@query(f"{RIDGE} SELECT date, symbol, {rd('fwd')} AS fwd, {rd('a + b0 * mom + b1 * range + b2 * rev')} AS value FROM mlp JOIN r4 USING (date)")
+def walk_forward_ridge(spark, sf_dir):
+    return ml.walk_forward(_panel(spark, sf_dir), NAMES3, "ridge").select("date", "symbol", r("fwd").alias("fwd"), r("value").alias("value"))
 
 
 @query()
-def walk_forward_ridge(spark, sf_dir):
-    return ml.walk_forward(_kept_panel(spark, sf_dir), ["mom", "range", "rev"], "ridge")
+def walk_forward_forest(spark, sf_dir):
+    """Every week after the first nine, with 100 trees."""
+    return ml.walk_forward(_panel(spark, sf_dir), NAMES3, "forest", purge=1)
 
 
 @query()
-def walk_forward_forest(spark, sf_dir):
-    return ml.walk_forward(_kept_panel(spark, sf_dir), ["mom", "range", "rev"], "forest", purge=1)
+def walk_forward_boosting(spark, sf_dir):
+    return ml.walk_forward(_panel(spark, sf_dir), NAMES3, "boosting")
+
+
+@query()
+def walk_forward_svr(spark, sf_dir):
+    return ml.walk_forward(_panel(spark, sf_dir), NAMES3, "svr")
+
+
+@query()
+def walk_forward_pca_ridge(spark, sf_dir):
+    return ml.walk_forward(_panel(spark, sf_dir), NAMES3, "pca_ridge", components=2)
+
+
+_EQUAL = f"{PANEL}, eqw AS (SELECT date, symbol, fwd, (mom + range + rev) / 3 AS value FROM mlp)"
+
+
+@query(f"""{_EQUAL}, er AS (SELECT date, {rank_average('round(value, 9)', 'date')} AS a, {rank_average('fwd', 'date')} AS b FROM eqw), ei AS (SELECT date, corr(a, b) AS ic FROM er GROUP BY date HAVING count(*) >= 10 AND corr(a, b) IS NOT NULL AND NOT isnan(corr(a, b))),
+ep AS (SELECT *, {rank_average('round(value, 9)', 'date')} / count(*) OVER (PARTITION BY date) AS pct, count(*) OVER (PARTITION BY date) AS n FROM eqw), el AS (SELECT date, avg(fwd) FILTER (WHERE pct > 0.8) - avg(fwd) FILTER (WHERE pct <= 0.2) AS ls FROM ep WHERE n >= 10 GROUP BY date),
+ev AS (SELECT ls FROM (SELECT ls, row_number() OVER (ORDER BY date) - 1 AS k FROM el) WHERE k % 5 = 0)
+SELECT dates, ic_mean, icir, periods, annual_return, annual_vol, sharpe, win_rate FROM (SELECT count(*) AS dates, {rd('avg(ic)')} AS ic_mean, {rd('avg(ic) / nullif(stddev_samp(ic), 0)')} AS icir FROM ei)
+CROSS JOIN (SELECT count(ls) AS periods, {rd('avg(ls) * 50.4')} AS annual_return, {rd('stddev_samp(ls) * sqrt(50.4)')} AS annual_vol, {rd('avg(ls) / nullif(stddev_samp(ls), 0) * sqrt(50.4)')} AS sharpe, {rd('avg(CAST(ls > 0 AS INTEGER))')} AS win_rate FROM ev)""")
+def daily_evaluation(spark, sf_dir):
+    rows = ml.equal_weight(_panel(spark, sf_dir), NAMES3).withColumn("value", F.round("value", 9))
+    found = ml.daily_evaluation(rows, least=10)
+    return found.select(*(F.col(c) if c in ("dates", "periods") else r(c).alias(c) for c in found.columns))
+
+
+@query()
+def ensemble_predictions(spark, sf_dir):
+    panel = _panel(spark, sf_dir)
+    return ml.ensemble(ml.walk_forward(panel, NAMES3, "ridge"), ml.equal_weight(panel, NAMES3), ml.walk_forward(panel, NAMES3, "pca_ridge", components=2))
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    return ml.feature_importance(_panel(spark, sf_dir), ["mom", "range", "rev"], trees=20)
+    return ml.feature_importance(_panel(spark, sf_dir), NAMES3)
+
+
+@query()
+def live_signal(spark, sf_dir):
+    panel = _panel(spark, sf_dir).cache()
+    last = panel.agg(F.max("date").alias("date"))
+    return ml.live_signal(panel.join(last, "date", "left_anti"), panel.join(last, "date", "left_semi"), NAMES3)
+
+
+@query()
+def daily_panel(spark, sf_dir):
+    grid, rows = factor_rows(spark, sf_dir)
+    return ml.daily_panel(rows, grid, research.forward_returns(grid), {"mom": 1.0, "range": 1.0, "rev": -1.0}, 20, 10)
 
 
 @query()
@@ -356,6 +444,16 @@ def weekly_pipeline(spark, sf_dir):
     return weekly.run(rows, grid, "equal_weight", least=10, top=10).returns
 
 
+@query(f"{IC} SELECT factor, date, {rd('ic')} AS ic, {rd('CASE WHEN count(ic) OVER w >= 12 THEN avg(ic) OVER w END')} AS rolling_ic FROM ics WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
+def rolling_ic(spark, sf_dir):
+    return research.rolling_ic(_ics(spark, sf_dir)).select("factor", "date", r("ic").alias("ic"), r("rolling_ic").alias("rolling_ic"))
+
+
+@query()
+def strategy_comparison(spark, sf_dir):
+    return backtest.compare(synthetic.daily_bars(spark, sf_dir), capital=1e6)
+
+
 # signals
 
 B = f"WITH {DAILY_SQL}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.errors import AnalysisException
 
@@ -45,9 +48,13 @@ class BarStore:
             new = old.unionByName(new, allowMissingColumns=True)
         except FileNotFoundError:
             pass
-        merged = upsert(new, ("ts", "symbol"), "__seq").drop("__seq").checkpoint() if self.spark.sparkContext.getCheckpointDir() else upsert(new, ("ts", "symbol"), "__seq").drop("__seq").cache()
-        merged.count()
-        merged.repartition("year").sortWithinPartitions("symbol", "ts").write.partitionBy("year").option("partitionOverwriteMode", "dynamic").mode("overwrite").option("compression", "snappy").parquet(f"{self.root}/{frequency}")
+        merged = upsert(new, ("ts", "symbol"), "__seq").drop("__seq")
+        # written elsewhere first: the years that are replaced are also read. A year is as many files as its rows ask for
+        staged = f"{self.root}/.staged-{uuid.uuid4().hex}"
+        merged.repartitionByRange("year", "symbol").sortWithinPartitions("year", "symbol", "ts").write.partitionBy("year").option("compression", "snappy").parquet(staged)
+        self.spark.read.parquet(staged).write.partitionBy("year").option("partitionOverwriteMode", "dynamic").mode("overwrite").option("compression", "snappy").parquet(f"{self.root}/{frequency}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def symbols(self, frequency: str = "1d") -> DataFrame:
         """Symbols of the latest year."""
@@ -98,7 +105,8 @@ def densify(bars: DataFrame, keys: tuple[str, ...] = (), date: str = "date") ->
 
 def session_only(bars: DataFrame, zone: str = "America/New_York", start: str = SESSION_OPEN, end: str = SESSION_CLOSE) -> DataFrame:
     """Bars whose local time of day is within the session, both ends included."""
-    return bars.where(F.date_format(F.from_utc_timestamp("ts", zone), "HH:mm:ss").between(start, end))
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), F.col("ts").cast("timestamp_ntz"))  # whatever zone the session is in
+    return bars.where(F.date_format(local, "HH:mm:ss").between(start, end))
 
 
 def history(bars: DataFrame, n: int, as_of=None, order: str = "date") -> DataFrame:
@@ -109,6 +117,68 @@ def history(bars: DataFrame, n: int, as_of=None, order: str = "date") -> DataFra
     return bars.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+class Feed:
+    """A source of bars in order of time. Subclasses give `table`; `subscribe` limits the symbols, `next` gives a time's bars."""
+
+    def __init__(self) -> None:
+        self._symbols: set[str] | None = None
+        self._calls: list[Callable[[list], None]] = []
+        self.reset()
+
+    def table(self) -> DataFrame:
+        raise NotImplementedError
+
+    def subscribe(self, symbols, call: Callable[[list], None] | None = None) -> None:
+        """Adds symbols, and a function that gets the bars of every time."""
+        self._symbols = (self._symbols or set()) | set(symbols)
+        if call:
+            self._calls.append(call)
+        self.reset()
+
+    def reset(self) -> None:
+        """Back to the first bar."""
+        self._rows: Iterator | None = None
+        self._ahead: list = []
+
+    def _fill(self) -> None:
+        if self._rows is None:
+            rows = self.table()
+            if self._symbols is not None:
+                rows = rows.where(F.col("symbol").isin(sorted(self._symbols)))
+            self._rows = iter(replay(rows).toLocalIterator(prefetchPartitions=True))  # a partition at a time on the driver
+            self._ahead = [r for r in [next(self._rows, None)] if r is not None]
+
+    def has_next(self) -> bool:
+        self._fill()
+        return bool(self._ahead)
+
+    def next(self) -> list:
+        """The bars of the next time, by symbol. StopIteration after the last."""
+        if not self.has_next():
+            raise StopIteration
+        found = self._ahead
+        self._ahead = []
+        for r in self._rows:
+            if r.ts != found[0].ts:
+                self._ahead = [r]
+                break
+            found.append(r)
+        for call in self._calls:
+            call(found)
+        return found
+
+
+class HistoricFeed(Feed):
+    """The feed of stored bars."""
+
+    def __init__(self, bars: DataFrame) -> None:
+        self._bars = bars
+        super().__init__()
+
+    def table(self) -> DataFrame:
+        return self._bars
+
+
 def replay(bars: DataFrame) -> DataFrame:
     """Bars in the order of a historical feed: by time, then symbol."""
     return bars.orderBy("ts", "symbol")

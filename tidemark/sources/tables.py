@@ -42,6 +42,36 @@ def normalize_types(table: DataFrame, dates=(), numbers=(), integers=(), strings
     )
 
 
+def read_statements(spark: SparkSession, folder: str, symbols: list[str] | None = None) -> DataFrame:
+    """The statements of a folder with one Parquet file a symbol: the rows with `symbol` from the name of their file.
+
+    Files need not have the same columns. symbols: only theirs; those without a file are left out.
+    """
+    rows = spark.read.option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    rows = rows.withColumn("symbol", F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_[a-z]+)?\.parquet$", 1)))
+    for column in ("end_date", "filing_date"):
+        if column in rows.columns:
+            rows = rows.withColumn(column, F.to_date(column))
+    return rows if symbols is None else rows.where(F.col("symbol").isin([s.upper() for s in symbols]))
+
+
+def read_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """All option chains of a folder of CSV files `SYMBOL_EXPIRATION_calls.csv` or `_puts.csv` one below the other: symbol, expiration and type from the names, years to expiry from `as_of` in the rows, else NULL."""
+    rows = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*.csv").csv(folder)
+    name = F.col("_metadata.file_name")
+    part = lambda k: F.regexp_extract(name, r"^([^_]+)_(\d{4}-\d{2}-\d{2})_(call|put)s?\.csv$", k)
+    rows = rows.withColumns({"symbol": F.upper(part(1)), "expiration": F.to_date(F.nullif(part(2), F.lit(""))), "type": part(3)}).where("expiration is not null")
+    as_of = F.to_date("as_of") if "as_of" in rows.columns else F.lit(None).cast("date")
+    return rows.withColumn("years", F.datediff("expiration", as_of) / 365.0)
+
+
+def sample(table: DataFrame, n: int, seed: int = 42, key: str | None = None) -> DataFrame:
+    """n rows, always the same of the same table: those with the lowest hash of `key` and the seed, or of all columns."""
+    of = [key] if key else table.columns
+    place = F.xxhash64(*of, F.lit(seed))
+    return table.orderBy(place, *of).limit(n)
+
+
 TRADE_LOG = """type string, ts string, order_id long, strategy string, action string, expiry string, short_put double, long_put double,
 short_call double, long_call double, limit_price double, qty long, reason string, fill_price double, commission double, rule string, detail string, pnl double"""
 

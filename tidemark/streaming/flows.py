@@ -94,3 +94,24 @@ def condor_states(quotes: DataFrame, take_profit: float = 0.5, stop: float = 2.0
         yield pd.DataFrame(out, columns=["strategy", "ts", "action", "quantity", "pnl"])
 
     return quotes.groupBy("strategy").applyInPandasWithState(run, ACTION, "held long, credit double, halved boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def lagged(rows: DataFrame, value: str, lag: int = 1, window: int = 20, key: str = "symbol") -> DataFrame:
+    """Positional lag and rolling mean on a stream: key, ts, value, lagged (the value `lag` rows before) and mean (of the last `window`, NULL before there are as many).
+
+    State: the last max(lag + 1, window) values of a key. Rows of a batch are taken in order of ts; later ones of an earlier time count as they come.
+    """
+    keep = max(lag + 1, window)
+
+    def run(own, frames: Iterator[pd.DataFrame], state: GroupState):
+        (seen,) = state.get if state.exists else ([],)
+        seen, out = list(seen), []
+        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+            seen = [*seen, float(r.value)][-keep:]
+            out.append((own[0], r.ts, r.value, seen[-1 - lag] if len(seen) > lag else None, sum(seen[-window:]) / window if len(seen) >= window else None))
+        state.update((seen,))
+        found = pd.DataFrame(out, columns=["key", "ts", "value", "lagged", "mean"])
+        yield found.astype({"value": float, "lagged": float, "mean": float})
+
+    picked = rows.select(F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value"))
+    return picked.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, value double, lagged double, mean double", "seen array<double>", "append", GroupStateTimeout.NoTimeout)
