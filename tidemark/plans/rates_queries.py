@@ -69,17 +69,30 @@ def cashflows(spark, sf_dir):
     return _items(spark, True).select("cusip", F.explode("flows").alias("x")).select("cusip", "x.pay_date", r("x.amount").alias("amount"))
 
 
-@query()
+#: Stored values: of the report those that were observed of the compatible algorithm, of the exact one and of the spline those of a solution written apart from this library.
+_REPORT = """SELECT DATE '2018-12-28' AS val_date, CAST(step AS INTEGER) AS step, cusip, maturity_t, CAST(maturity AS DATE) AS maturity, price, pv_known, cf_maturity, df_solved, zero_cc, residual, 'ok' AS status, '' AS warn
+FROM (VALUES (1, '912796UQ', 0.164271::DOUBLE, '2019-02-26', 99.598333333334::DOUBLE, 0.0::DOUBLE, 100.0::DOUBLE, 0.995983::DOUBLE, 0.024501::DOUBLE, 0.0::DOUBLE), (2, '912796RW', 0.517454, '2019-07-05', 98.7098125, 0.0, 100.0, 0.987098, 0.025096, 0.0),
+(3, '912796RT', 1.013005, '2020-01-02', 97.41, 0.0, 100.0, 0.9741, 0.025904, 0.0), {}) t(step, cusip, maturity_t, maturity, price, pv_known, cf_maturity, df_solved, zero_cc, residual)"""
+_COMPATIBLE = _REPORT.format("""(4, '9128285S', 2.009582, '2020-12-31', 99.95703125, 4.839555, 101.25, 0.939432, 0.031091, -0.016955), (5, '9128285U', 5.007529, '2023-12-31', 100.328125, 12.010156, 101.3125, 0.871738, 0.027412, 0.138007),
+(6, '9128285M', 9.883641, '2028-11-15', 103.83995165745856, 26.071926, 101.5625, 0.765716, 0.027009, -0.044326), (7, '912810SE', 29.883641, '2048-11-15', 107.28371029005525, 68.464865, 101.6875, 0.381746, 0.032225, -2.790878)""")
+_EXACT = _REPORT.format("""(4, '9128285S', 2.009582, '2020-12-31', 99.95703125, 3.655444, 101.25, 0.951127, 0.024934, 0.0), (5, '9128285U', 5.007529, '2023-12-31', 100.328125, 11.094434, 101.3125, 0.880777, 0.025352, 0.0),
+(6, '9128285M', 9.883641, '2028-11-15', 103.83995165745856, 26.199586, 101.5625, 0.764459, 0.027175, 0.0), (7, '912810SE', 29.883641, '2048-11-15', 107.28371029005525, 66.594933, 101.6875, 0.400135, 0.030651, 0.0)""")
+_SPLINE = "SELECT DATE '2018-12-28' AS val_date, t::DOUBLE AS t, df::DOUBLE AS df FROM (VALUES (0.0, 1.0), (0.5, 0.95), (1.0, 0.9), (1.5, 0.845571), (2.0, 0.8), (2.5, 0.763544), (3.0, 0.734238), (3.5, 0.70994), (4.0, 0.688832), (4.5, 0.669323), (5.0, 0.65), (5.5, 0.629859), (6.0, 0.609003), (6.5, 0.587769), (7.0, 0.566463), (7.5, 0.545357), (8.0, 0.524688), (8.5, 0.504659), (9.0, 0.485443), (9.5, 0.467183), (10.0, 0.45), (10.5, 0.43396), (11.0, 0.419001), (11.5, 0.405038), (12.0, 0.391993), (12.5, 0.379794), (13.0, 0.368376), (13.5, 0.357682), (14.0, 0.347655), (14.5, 0.338247), (15.0, 0.329412), (15.5, 0.321109), (16.0, 0.313298), (16.5, 0.305944), (17.0, 0.299014), (17.5, 0.292479), (18.0, 0.28631), (18.5, 0.280481), (19.0, 0.274968), (19.5, 0.269748), (20.0, 0.264801), (20.5, 0.260106), (21.0, 0.255647), (21.5, 0.251405), (22.0, 0.247365), (22.5, 0.243511), (23.0, 0.239829), (23.5, 0.236307), (24.0, 0.23293), (24.5, 0.229688), (25.0, 0.226568), (25.5, 0.223561), (26.0, 0.220656), (26.5, 0.217842), (27.0, 0.215112), (27.5, 0.212455), (28.0, 0.209864), (28.5, 0.207331), (29.0, 0.204847), (29.5, 0.202406), (30.0, 0.2)) v(t, df)"
+_EOM = f"""{FLOWS}, sk AS (SELECT cusip, m, v, c, CASE WHEN f = last_day(f) THEN last_day(CAST(f + to_months(CAST(6 * k AS INTEGER)) AS DATE)) ELSE CAST(f + to_months(CAST(6 * k AS INTEGER)) AS DATE) END AS d FROM it, range(0, 121) g(k) WHERE q > 0),
+fe AS (SELECT cusip, d, c / 2 AS a FROM sk WHERE d > v AND d <= m UNION ALL SELECT cusip, m, 100.0 FROM it WHERE m > v) SELECT cusip, d AS pay_date, {rd('sum(a)')} AS amount FROM fe WHERE cusip NOT IN ('9128280A', '9128281B') GROUP BY cusip, d"""
+
+
+@query(_EOM)
 def cashflows_end_of_month(spark, sf_dir):
     return _items(spark, end_of_month=True).select("cusip", F.explode("flows").alias("x")).select("cusip", "x.pay_date", r("x.amount").alias("amount"))
 
 
-@query()
+@query(_COMPATIBLE)
 def bootstrap_report(spark, sf_dir):
     return rates.bootstrap(_items(spark)).withColumns({c: r(c) for c in ("maturity_t", "pv_known", "df_solved", "zero_cc", "residual")})
 
 
-@query()
+@query(_EXACT)
 def bootstrap_exact(spark, sf_dir):
     return rates.bootstrap(_items(spark, end_of_month=True), exact=True).withColumns({c: r(c) for c in ("maturity_t", "pv_known", "df_solved", "zero_cc", "residual")})
 
@@ -147,7 +160,7 @@ def off_the_run_pricing(spark, sf_dir):
     return priced.select("cusip", r("dirty").alias("dirty"), r("market").alias("market"), r("difference").alias("difference"), r("z_spread", 8).alias("z_spread"))
 
 
-@query()
+@query(_SPLINE)
 def spline_curve(spark, sf_dir):
     return rates.spline_curve(_curve(spark), [i / 2 for i in range(61)]).withColumn("df", r("df"))
 
