@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidemark.llm import arrays, chat, crf, kneser_ney, mixing, neighbours, packing, pii, secrets, simhash, urls
+from tidemark.llm import arrays, chat, crf, kneser_ney, mixing, neighbours, packing, pii, queries, secrets, simhash, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -157,6 +157,25 @@ def test_neighbours_recall(spark):
     assert np.mean([len(truth[i] & got[i]) / 10 for i in truth]) >= 0.9
 
 
+def test_every_fiftieth_vector_asks_all(spark, tmp_path, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table.selectExpr("vec_id - 1000 vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = table.toPandas()
+    x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy() - 1000
+    asked = np.flatnonzero(ids % 50 == 0)
+    d = np.sqrt(((x[asked, None] - x) ** 2).sum(2))
+    d[np.arange(len(asked)), asked] = np.inf
+    truth = {i: dict(zip(ids.tolist(), r.tolist())) for i, r in zip(ids[asked].tolist(), d)}
+    for bound in (neighbours.FIT_ROWS, 500):  # centres from all vectors, and from about 500
+        monkeypatch.setattr(neighbours, "FIT_ROWS", bound)
+        got = defaultdict(dict)
+        for r in queries.op2_adaptive_neighbours(spark, str(tmp_path)).collect():
+            got[r.vec_id][r.rank] = r
+        assert set(got) == set(truth) and all(sorted(g) == list(range(1, 11)) for g in got.values())
+        assert all(abs(r.distance - truth[i][r.neighbour_id]) < 1e-5 for i, g in got.items() for r in g.values())
+        assert np.mean([len(set(sorted(truth[i], key=truth[i].get)[:10]) & {r.neighbour_id for r in g.values()}) / 10 for i, g in got.items()]) >= 0.9
+
+
 def test_list_scan_reads_less_and_finds_nearly_all():
     rng = np.random.default_rng(3)
     centres = 3 * rng.standard_normal((40, 64))

@@ -4,7 +4,8 @@ Vectors are rotated at random, so that partial distances over the first d of D d
 Within a list they lie in column blocks. A query adds up one block after another; after each, a hypothesis test
 abandons every candidate whose partial distance, scaled to D dimensions, exceeds the k-th best distance so far by more
 than chance explains: sqrt(D / d) * partial > (1 + epsilon / sqrt(d)) * best. What survives all blocks has its exact
-distance. Lists are the cells of k-means over all vectors; every vector is a query and probes the nearest lists.
+distance. Lists are the cells of k-means over a sample of FIT_ROWS vectors, chosen by a hash of the id; every vector is in
+the list of its nearest centre. Queries are all vectors, or those whose id is divisible by `every`; each probes the nearest lists.
 
 Lists are gathered in groups of about GROUP_BYTES of vectors, at least as many as there are shuffle partitions; a query travels
 once to each group with a list that it probes, not once a list, and its best distance so far is carried from list to list
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.shared import integer_id, plain
 
 GROUP_BYTES = 64 << 20
+#: About as many vectors at most choose the centres.
+FIT_ROWS = 1 << 17
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -106,8 +109,8 @@ def search_lists(lists: dict, query_ids, q, probed: list, k: int, block: int, ep
     return d, near
 
 
-def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_probes: int = 24, lists: int | None = None, rounds: int = 3, block: int = 16, epsilon: float = 2.1, seed: int = 7) -> DataFrame:
-    """vec_id, neighbour_id, rank (from 1) and distance (Euclidean) of the k nearest to every vector.
+def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_probes: int = 24, lists: int | None = None, rounds: int = 3, block: int = 16, epsilon: float = 2.1, seed: int = 7, every: int = 1) -> DataFrame:
+    """vec_id, neighbour_id, rank (from 1) and distance (Euclidean) of the k nearest to every vector, or to every one whose id is divisible by `every`.
 
     lists: number of k-means cells; twice the square root of the number of vectors if not given.
     probe_share: share of the lists that each query probes, at least least_probes of them. Vectors with little cluster structure need more than half of
@@ -130,6 +133,7 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
     lists = len(centres)
     probes = min(lists, max(least_probes, round(probe_share * lists)))
     sizes, partitions = np.zeros(lists, np.int64), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fitted = some if n <= FIT_ROWS else some.where(F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(n)) < FIT_ROWS)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centres)  # 2 sqrt(n) rows
 
@@ -157,7 +161,7 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([t.tobytes() for t, _ in found.values()], pa.binary()), pa.array([n for _, n in found.values()], pa.int64())], names=["cell", "total", "n"])
 
         kind = "cell long, total binary, n long"
-        new = some.select("embedding").mapInArrow(sums, kind).repartition(partitions, "cell").mapInArrow(add, kind).toArrow()  # a row a list
+        new = fitted.select("embedding").mapInArrow(sums, kind).repartition(partitions, "cell").mapInArrow(add, kind).toArrow()  # a row a list
         at, sizes = np.asarray(new["cell"]), np.zeros(lists, np.int64)
         sizes[at] = np.asarray(new["n"])
         centres = centres.copy()
@@ -178,19 +182,19 @@ def nearest(vectors: DataFrame, k: int = 10, probe_share: float = 0.6, least_pro
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 own = batch.slice(a, 1024)
-                ids, x = np.asarray(own.column("vec_id")), _matrix(own.column("embedding"), dim) @ turn
+                ids, x = np.asarray(own.column("vec_id")), (_matrix(own.column("embedding"), dim) @ turn).astype(np.float32)
                 d = (c * c).sum(1) - 2 * (x @ c.T)
-                near = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-                home = d.argmin(1).astype(np.int32)
+                home, asks = d.argmin(1).astype(np.int32), np.flatnonzero(ids % every == 0)
+                near = np.argpartition(d[asks], probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(asks), 1))
                 flat = np.sort(near, axis=1).ravel().astype(np.int32)
-                asked = np.repeat(np.arange(len(x)), near.shape[1])
+                asked = np.repeat(asks, near.shape[1])
                 by = np.lexsort((flat, group[flat], asked))
                 flat, key = flat[by], asked[by] * groups + group[flat[by]]
                 cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
                 row = key[cuts[:-1]] // groups
-                data = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()).take(pa.array(np.concatenate([np.arange(len(x)), row])))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([group[home], key[cuts[:-1]] % groups]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(x), len(row)]).astype(np.int8)), pa.array(np.concatenate([ids, ids[row]])), data,
+                    pa.array(np.concatenate([group[home], key[cuts[:-1]] % groups]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(x), len(row)]).astype(np.int8)), pa.array(np.concatenate([ids, ids[row]])),
+                    pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(np.concatenate([np.arange(len(x)), row]))),
                     pa.array([v.tobytes() for v in home] + [flat[p:q].tobytes() for p, q in zip(cuts[:-1], cuts[1:])], pa.binary()),
                 ], names=names)
 
