@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -187,6 +188,30 @@ def test_list_scan_reads_less_and_finds_nearly_all():
     assert hits >= 0.97 * 500 and read < 0.5 * 50 * 2000 * 64
 
 
+def test_list_scan_of_vectors_far_from_each_other_is_exact_and_picks_few_pairs():
+    rng = np.random.default_rng(4)
+    x, q = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.standard_normal((n, 64)).astype(np.float32) for n in (2000, 1000)))
+    tracemalloc.start()
+    row, at, d, _ = neighbours.scan_list(np.arange(2000), x, np.arange(5000, 6000), q, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    truth = np.argsort(((q[:, None].astype(float) - x) ** 2).sum(2), 1)[:, :10]
+    assert (at.reshape(-1, 10) == truth).all() and (row == np.repeat(np.arange(1000), 10)).all()
+    assert np.allclose(d, ((q[row].astype(float) - x[at]) ** 2).sum(1), rtol=0, atol=1e-12)
+    assert peak < 100 << 20  # 2 million pairs of 4 bytes, a few times; more where most of them are picked with their dimensions
+
+
+def test_equal_vectors_are_neighbours_at_no_distance(spark):
+    vector = [0.1 * i for i in range(40)]
+    rows = [(i, vector) for i in range(30)] + [(i, vector) for i in (7, 7, 7)] + [(100, [v + 1 for v in vector])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append((r.neighbour_id, r.distance))
+    for i in range(30):
+        assert got[i] == [(j, 0.0) for j in range(11) if j != i][:10], i
+    assert [j for j, _ in got[100]] == list(range(10))
+
+
 def test_neighbours_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, rank int, distance double"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
