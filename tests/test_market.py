@@ -241,6 +241,13 @@ def test_black_scholes_and_back(spark):
         assert r.price == pytest.approx(s * phi(d1) - x * phi(d2) if r.type == "call" else x * phi(-d2) - s * phi(-d1), abs=1e-10) and r.back == pytest.approx(r.iv, abs=1e-6)
 
 
+def test_risk_limits_hold_at_the_limit(spark):
+    rows = spark.createDataFrame([(4030.05, 2.0), (4030.06, 2.0), (4278.5, 2.0), (4100.0, 0.77)], "spot double, combo_mid double")
+    rows = rows.selectExpr("timestamp'2024-01-02 10:00:00' ts", "spot", "4010.0D short_put", "4300.0D short_call", "0.0D put_delta", "0.0D call_delta", "1.1D credit", "combo_mid", "40 dte")
+    got = {r.spot: r.action for r in options.risk_actions(rows, take_profit=0.3).collect()}
+    assert got == {4030.05: "CLOSE_PROXIMITY", 4030.06: "HOLD", 4278.5: "CLOSE_PROXIMITY", 4100.0: "TAKE_PROFIT"}
+
+
 def test_round_trips_equal_a_queue(spark):
     rng = np.random.default_rng(5)
     log, opens, truth = [], {}, []

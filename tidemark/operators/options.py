@@ -157,11 +157,13 @@ def risk_actions(snapshots: DataFrame, proximity: float = 0.005, red_delta: floa
     """Adds `action` by priority: end of day, proximity or delta, profit or loss, time.
 
     snapshots: ts, spot, short_put, short_call, put_delta, call_delta, credit, combo_mid, dte.
+    Price limits are rounded to 8 digits: 4010 * (1 + 0.005) would be a little below 4030.05 and miss a spot right at it.
     """
-    near = (F.col("spot") <= F.col("short_put") * (1 + proximity)) | (F.col("spot") >= F.col("short_call") * (1 - proximity))
+    limit = lambda price, factor: F.round(F.col(price) * factor, 8)
+    near = (F.col("spot") <= limit("short_put", 1 + proximity)) | (F.col("spot") >= limit("short_call", 1 - proximity))
     delta = F.abs(F.col("put_delta") + F.col("call_delta")) * delta_multiplier >= red_delta
     action = F.when(F.date_format("ts", "HH:mm:ss") >= close_at, "CLOSE_EOD") if close_at else F.when(F.lit(False), "")
-    action = action.when(near, "CLOSE_PROXIMITY").when(delta, "CLOSE_DELTA").when(F.col("combo_mid") <= F.col("credit") * (1 - take_profit), "TAKE_PROFIT").when(F.col("combo_mid") >= F.col("credit") * stop, "STOP_LOSS")
+    action = action.when(near, "CLOSE_PROXIMITY").when(delta, "CLOSE_DELTA").when(F.col("combo_mid") <= limit("credit", 1 - take_profit), "TAKE_PROFIT").when(F.col("combo_mid") >= limit("credit", stop), "STOP_LOSS")
     if min_days is not None:
         action = action.when(F.col("dte") <= min_days, "TIME_EXIT")
     return snapshots.withColumn("action", action.otherwise("HOLD"))
