@@ -7,10 +7,12 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import trees
 from tidemark.plans import registry, table_queries
+from tidemark.sources import synthetic
 
 NAMES = [
     "panel_densify", "zscore_mad", "qcut_buckets", "resample_wfri", "asof_backward", "rank_ic", "quantile_backtest", "turnover", "hht_signal", "advisor", "equity_metrics", "fifo_pnl",
@@ -62,3 +64,15 @@ def test_walk_forward_queries_predict_every_date(spark, monkeypatch):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_daily_bars_hold_no_lines_and_order_ties(spark, tmp_path):
+    big = 2**56
+    lines = [(big, 1, 1, 10.0, 2.0), (big, 1, 1, 30.0, 2.0), (big, 1, 1, None, 2.0), (big, 2, 1, 70.0, 2.0), (big + 1, 1, 1, 20.0, 2.0), (big + 1, 1, 1, 90.0, 2.0), (5, 1, 2, 8.0, 0.0), (6, 1, 2, 8.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").withColumn("l_shipdate", F.lit("1995-01-02").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    bars = synthetic.daily_bars(spark, str(tmp_path))
+    plan = bars._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("HashAggregate(") == 2 and "SortAggregate" not in plan and "SortMergeJoin" not in plan  # (symbol, date) before and after the exchange
+    got = {r.symbol: tuple(r)[2:] for r in bars.collect()}
+    assert got == {"a": (5.0, 45.0, 5.0, 45.0, 12.0), "b": (None, 8.0, 8.0, 8.0, 1.0)}

@@ -6,7 +6,11 @@ statements: orders by nation of the customer and quarter, as filed statements of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tidemark.functions.kernels import clip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +24,32 @@ def _ohlc(rows: DataFrame, keys: list[str], order: list[str], volume) -> DataFra
     )
 
 
+#: Half the width of a place, for the lines of one place: prices up to 49 million either side of 0, to 11 digits.
+_TIES = 4_900_000_000_000_000_000
+
+
+def _place(at: str, px: str, missing: int) -> Column:
+    """One number that orders lines by a whole number and then by price, a missing one counting as `missing`.
+
+    A decimal, unlike a struct, is aggregated by hashing.
+    """
+    tie = F.coalesce(clip(F.col(px) * 1e11, F.lit(float(-_TIES)), F.lit(float(_TIES))).cast("long"), F.lit(missing))
+    return F.col(at).cast("decimal(19,0)") * F.lit(Decimal(10**19)) + tie.cast("decimal(19,0)")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     day = F.col("l_shipdate").cast("date")
-    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    # joined and added up by hashing: a task holds its parts and its (symbol, date) groups, but no lines
+    rows = table(spark, sf_dir, "lineitem").join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")).select(
         "symbol", (F.next_day(F.date_sub(day, 1), "FRI") if weekly else day).alias("date"),
         (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0))).alias("px"), (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("at"), "l_quantity",
     )
-    # lines of one place first, so that first and last go by one number and are found by hashing, without a sort
-    lines = rows.repartition("symbol", "date").groupBy("symbol", "date", "at").agg(F.min("px").alias("low"), F.max("px").alias("high"), F.sum("l_quantity").alias("volume"))
-    return lines.groupBy("symbol", "date").agg(
-        F.min_by("low", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("high", "at").alias("close"), F.sum("volume").alias("volume"),
+    first, last = _place("at", "px", _TIES), _place("at", "px", -_TIES)
+    bars = rows.groupBy("symbol", "date").agg(
+        F.min_by("px", first).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", last).alias("close"), F.sum("l_quantity").alias("volume"),
     )
+    return bars.cache()  # a row a symbol and date, read several times by the grid alone
 
 
 def minute_bars(spark: SparkSession, sf_dir: str, days: int = 120) -> DataFrame:
