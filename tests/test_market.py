@@ -229,6 +229,17 @@ def test_bootstrap_odd_instruments(spark):
     assert got["a"].df_solved == pytest.approx(0.98) and got["b"].warn == "duplicate_maturity" and (got["c"].status, got["c"].warn) == ("fail", "df_nonpositive") and "d" not in got
 
 
+def test_live_signal_reads_its_rows_once(spark):
+    rows = spark.createDataFrame([(i, f"s{j}", float(j % 5), float((i + j) % 7), 0.01 * (j % 5) + 0.02 * ((i + j) % 7)) for i in range(9) for j in range(25)], "date int, symbol string, a double, b double, fwd double")
+    past, latest = rows.where("date < 8"), rows.where("date = 8")
+    out = ml.live_signal(past, latest, ["a", "b"], trees=2)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.symbol: r for r in out.collect()}
+    alone = ml.models(["a", "b"], past.count())["ridge"].fit(past).transform(latest).collect()
+    assert len(got) == 25 and all(got[r.symbol].ridge == pytest.approx(r.prediction) and got[r.symbol].equal_weight == (r.a + r.b) / 2 for r in alone)
+    assert all(r.ensemble == (r.ridge + r.forest) / 2 for r in got.values())
+
+
 def test_black_scholes_and_back(spark):
     rows = [("call", 100.0, 90.0, 0.5, 0.3), ("put", 100.0, 120.0, 1.0, 0.2), ("call", 100.0, 100.0, 0.1, 0.5)]
     df = spark.createDataFrame(rows, "type string, spot double, strike double, years double, iv double")

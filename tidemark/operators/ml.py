@@ -170,10 +170,11 @@ def feature_importance(rows: DataFrame, names: list[str], **options) -> DataFram
 
 def live_signal(rows: DataFrame, latest: DataFrame, names: list[str], directions: dict[str, float] | None = None, trees: int = 200) -> DataFrame:
     """symbol with the equal-weight score, the predictions of ridge and forest, and their mean, for the latest features."""
+    rows = rows.select(*names, "fwd").cache()  # read by every pass of both fits
     n = rows.count()
     signs = directions or dict.fromkeys(names, 1.0)
     out = latest.select("symbol", *names, (reduce(lambda a, b: a + b, [F.col(c) * signs[c] for c in names]) / len(names)).alias("equal_weight"))
-    for model in ("ridge", "forest"):
-        fitted = models(names, n, trees=trees)[model].fit(rows)
-        out = out.join(fitted.transform(latest.withColumn("fwd", F.lit(0.0))).select("symbol", F.col("prediction").alias(model)), "symbol")
+    for model in ("ridge", "forest"):  # each adds its column, so that the latest features are read once and nothing is joined
+        out = models(names, n, trees=trees)[model].fit(rows).transform(out).drop("raw", "features").withColumnRenamed("prediction", model)
+    rows.unpersist()
     return out.withColumn("ensemble", (F.col("ridge") + F.col("forest")) / 2).select("symbol", "equal_weight", "ridge", "forest", "ensemble").orderBy(F.desc("equal_weight"), "symbol")

@@ -428,8 +428,8 @@ def feature_importance(spark, sf_dir):
 @query()
 def live_signal(spark, sf_dir):
     panel = _panel(spark, sf_dir).cache()
-    last = panel.agg(F.max("date").alias("date"))
-    return ml.live_signal(panel.join(last, "date", "left_anti"), panel.join(last, "date", "left_semi"), NAMES3)
+    last = panel.agg(F.max("date")).first()[0]
+    return ml.live_signal(panel.where(F.col("date") < last), panel.where(F.col("date") == last), NAMES3)
 
 
 @query()
