@@ -229,6 +229,15 @@ def test_bootstrap_odd_instruments(spark):
     assert got["a"].df_solved == pytest.approx(0.98) and got["b"].warn == "duplicate_maturity" and (got["c"].status, got["c"].warn) == ("fail", "df_nonpositive") and "d" not in got
 
 
+def test_note_yields_reprice_without_lambdas(spark):
+    rows = spark.createDataFrame([(p, c, n) for p in (60.0, 100.0, 130.0) for c in (0.0, 0.025, 0.05) for n in (1, 7, 30)], "price double, coupon double, years int")
+    out = rows.withColumn("y", rates.note_yield(F.col("price"), F.col("coupon"), F.col("years")))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # a lambda costs microseconds a round and coupon
+    for r in out.collect():
+        n = r.years * 2
+        assert sum(r.coupon * 50 / (1 + r.y / 2) ** k for k in range(1, n + 1)) + 100 / (1 + r.y / 2) ** n == pytest.approx(r.price, abs=1e-6)
+
+
 def test_live_signal_reads_its_rows_once(spark):
     rows = spark.createDataFrame([(i, f"s{j}", float(j % 5), float((i + j) % 7), 0.01 * (j % 5) + 0.02 * ((i + j) % 7)) for i in range(9) for j in range(25)], "date int, symbol string, a double, b double, fwd double")
     past, latest = rows.where("date < 8"), rows.where("date = 8")
