@@ -76,3 +76,8 @@ def test_daily_bars_hold_no_lines_and_order_ties(spark, tmp_path):
     assert plan.count("HashAggregate(") == 2 and "SortAggregate" not in plan and "SortMergeJoin" not in plan  # (symbol, date) before and after the exchange
     got = {r.symbol: tuple(r)[2:] for r in bars.collect()}
     assert got == {"a": (5.0, 45.0, 5.0, 45.0, 12.0), "b": (None, 8.0, 8.0, 8.0, 1.0)}
+
+
+def test_grid_reads_lines_through_kept_bars_only(spark, sf):
+    plan = table_queries.grid_of(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 3 and "Relation [l_" not in plan  # dates, symbols and cells
